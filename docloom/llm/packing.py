@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from ..runtime import ship
+from .common import mapped, stored
 from .tokens import encoder, rows
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -78,7 +79,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
                         column.append(x)
             yield pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), cut, PIECES)
 
 
 def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, capacity: int = 1024, per_task: int = 200_000) -> DataFrame:
@@ -101,4 +102,5 @@ def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pdf.drop(columns=["row", "part"]).assign(sequence_id=where * groups + key[0], offset=offset)
 
     dealt = short.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(groups)))
+    ship(docs.sparkSession)
     return full.unionByName(dealt.groupBy("part").applyInPandas(place, PIECES + ", sequence_id long, offset long"))

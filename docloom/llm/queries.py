@@ -7,11 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import shared_path, table
+from .language import identify_language
 from .packing import best_fit_packing
+from .quality import QUALITY_SQL, quality_report
+from .secrets import secret_report
+from .simhash import simhash_components
+from .substrings import SUBSTRING_SQL, substring_report
 from .token_counts import token_counts
 from .token_files import token_index, write_token_files
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_report(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
+def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -26,5 +51,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_token_counts, op9_token_files, op10_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_substring_dedup, op3_quality_rules, op4_language_id, op6_simhash_components, op7_secret_scan, op8_token_counts, op9_token_files, op10_best_fit_packing)
+}
+ORACLES: dict[str, str] = {"op1_substring_dedup": SUBSTRING_SQL, "op3_quality_rules": QUALITY_SQL}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import mapped
 from .tokens import encoder, rows
 
 SCHEMA = T.StructType(
@@ -53,7 +54,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
             yield pa.record_batch([b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), _arrays(data)], names=SCHEMA.names)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, SCHEMA).write.options(**OPTIONS).orc(path)
+    mapped(source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"), encode, SCHEMA).write.options(**OPTIONS).orc(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -78,5 +79,5 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     data = read_token_files(spark, path)
     totals = data.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    checked = data.mapInArrow(checksum, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
+    checked = mapped(data, checksum, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
     return checked.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")
