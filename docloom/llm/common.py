@@ -48,7 +48,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete what stored() wrote, when nothing will read it again."""
+    delete(df.sparkSession, df.stored_at)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -69,8 +69,8 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
         encode_text, end = encoder(tokenizer).encode, np.asarray([end_id], "<u4").tobytes()
         for b in rows(batches):
             out: list[list] = [[], [], [], [], []]
-            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = memoryview(encode_text(t.as_py()) + end)
+            for d, ids in zip(b.column(0).to_pylist(), encode_text(t.as_py() for t in b.column(1)), strict=True):
+                ids = memoryview(ids + end)
                 n = len(ids) // 4
                 first = n % capacity or capacity
                 for k, a in enumerate([0, *range(first, n, capacity)]):

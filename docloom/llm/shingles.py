@@ -57,6 +57,13 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return mix((sums[k:] - sums[:-k]) * _power(_INVERSE, len(words))[: len(words) - k + 1])
 
 
+def run_hashes(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run of words from begin to end, which is exclusive."""
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(words * _power(_BASE, len(words)), dtype=np.uint64)])
+        return mix((sums[end] - sums[begin]) * _power(_INVERSE, len(words) + 1)[begin] + (end - begin).astype(np.uint64))
+
+
 def minimizers(grams: np.ndarray, w: int) -> np.ndarray:
     """For each window of w consecutive grams the place of its smallest, the first among equals."""
     n = len(grams) - w + 1

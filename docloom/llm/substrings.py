@@ -1,14 +1,15 @@
 """Substring dedup: suffix automata of reference shards, along which documents stream for matching statistics.
 
-A window is `length` consecutive words. Every window has an anchor, its smallest run of k words by hash, so equal windows have equal
-anchors and meet in the shard of that anchor. Consecutive windows of one document with one anchor are a context. Equal contexts are
-joined into one before any words are shuffled; the words of the rest, once each, go to the shard of their anchor. A shard
-walks its contexts in the order of their first document: each streams along the automaton of what came before, which gives the
-longest match that ends at each word; matches of `length` words or more are what an earlier document holds; then the context is added.
+A window is `length` consecutive words. Every window has an anchor, its smallest run of length / 5 words by hash, so equal windows
+have equal anchors and meet in the shard of that anchor. Consecutive windows of one document with one anchor are a context. Equal
+contexts are joined into one before any words are shuffled; the words of the rest, once each, go to the shard of their anchor. A
+shard walks its contexts in the order of their first document: each streams along the automaton of what came before, which gives
+the longest match that ends at each word; matches of `length` words or more are what an earlier document holds; then the context is
+added.
 
 An automaton of the whole corpus, broadcast, would grow with the corpus. A shard's is bounded: an anchor with more than `bound`
-different contexts is not made one shard; its windows get longer anchors (k grows to `length`, where a window is its own anchor and
-equal windows are one context), so that nothing is dropped or capped.
+different contexts is not made one shard. The windows of its contexts are dealt out by their own hash instead and each is held
+against its first document, so that nothing is dropped or capped.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, stored
-from .shingles import _BASE, _INVERSE, _power, gram_hashes, minimizers, mix, word_hashes
+from .common import mapped, release, stored
+from .shingles import gram_hashes, minimizers, run_hashes, word_hashes
 from .tokens import rows
 
 CONTEXT = "row long, doc_id long, h long, c long, start int, n int"
@@ -91,67 +92,52 @@ class SuffixAutomaton:
         return out
 
 
-def _levels(length: int) -> list[int]:
-    """Words in an anchor, by level."""
-    return sorted({max(1, length // 5), max(1, length * 4 // 5), length})
+def _anchor(length: int) -> int:
+    """Words in an anchor: few make fewer and longer contexts, many make anchors rarer."""
+    return max(1, length // 5)
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
-def _cut(words: np.ndarray, length: int, level: int, hot: np.ndarray | None) -> tuple[np.ndarray, ...]:
-    """h, c, start and n (windows) of the contexts of a document; hot: anchors of the level before whose windows are wanted, if not all."""
-    k = _levels(length)[level]
+def _cut(words: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """h, c, start and n (windows) of the contexts of a document."""
+    k = _anchor(length)
     grams = gram_hashes(words, k)
     place = minimizers(grams, length - k + 1)
-    anchor = grams[place]
-    first = np.concatenate([[True], place[1:] != place[:-1]]) if len(place) else np.zeros(0, bool)
-    wanted = np.ones(len(place), bool)
-    if hot is not None:
-        before = gram_hashes(words, _levels(length)[level - 1])
-        wanted = np.isin(before[minimizers(before, length - _levels(length)[level - 1] + 1)], hot)
-        first |= np.concatenate([[True], wanted[1:] != wanted[:-1]])
-    a = np.flatnonzero(first)
+    a = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     z = np.append(a[1:], len(place))
-    a, z = a[wanted[a]], z[wanted[a]]
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(words * _power(_BASE, len(words)), dtype=np.uint64)])
-        c = mix((sums[z + length - 1] - sums[a]) * _power(_INVERSE, len(words) + 1)[a] + (z - a).astype(np.uint64))
-    return anchor[a], c, a.astype(np.int32), (z - a).astype(np.int32)
+    return grams[place[a]], run_hashes(words, a, z + length - 1), a.astype(np.int32), (z - a).astype(np.int32)
 
 
-def _contexts(base: DataFrame, length: int, level: int) -> DataFrame:
-    """CONTEXT rows; base: row, doc_id, text and, beyond level 0, hot."""
+def _contexts(base: DataFrame, length: int) -> DataFrame:
+    """CONTEXT rows; base: row, doc_id and text."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches):
             out: list[list] = [[], [], [], [], [], []]
-            for i, (r, d, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)):
+            for r, d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 words = word_hashes(t.as_py() or b"")
                 if len(words) < length:
                     continue
-                h, c, a, n = _cut(words, length, level, np.asarray(b.column(3)[i].values).view(np.uint64) if level else None)
+                h, c, a, n = _cut(words, length)
                 for column, x in zip(out, (np.full(len(a), r), np.full(len(a), d), h.view(np.int64), c.view(np.int64), a, n), strict=True):
                     column.append(x)
             if out[0]:
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], names=["row", "doc_id", "h", "c", "start", "n"])
 
-    return mapped(base.select("row", "doc_id", F.col("text").cast("binary").alias("text"), *["hot"] * bool(level)), cut, CONTEXT)
+    return mapped(base.select("row", "doc_id", F.col("text").cast("binary").alias("text")), cut, CONTEXT)
 
 
 def _content(base: DataFrame, length: int) -> DataFrame:
-    """h, c, lo and words (hashes) of the contexts wanted of each document; base: row, text, wanted."""
+    """h, c, lo and words (hashes) of the contexts wanted of each document; base: row, doc_id, text, wanted."""
 
     def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows(batches):
-            for i, t in enumerate(b.column(0)):
-                words, w = word_hashes(t.as_py()), b.column(1)[i].values
-                h, c, lo, start, n = (w.field(k) for k in ("h", "c", "lo", "start", "n"))
-                pieces = [words[a : a + m + length - 1].tobytes() for a, m in zip(start.to_pylist(), n.to_pylist(), strict=True)]
-                yield pa.record_batch([h, c, lo, pa.array(pieces, pa.binary())], names=["h", "c", "lo", "words"])
+        for b in rows(batches, 32):
+            for t, wanted in zip(b.column(0), b.column(1), strict=True):
+                words, w = word_hashes(t.as_py()), wanted.values
+                start, n = np.asarray(w.field("start")), np.asarray(w.field("n"))
+                pieces = [words[a : a + m + length - 1].tobytes() for a, m in zip(start.tolist(), n.tolist(), strict=True)]
+                yield pa.record_batch([*(w.field(k) for k in ("h", "c", "lo")), pa.array(pieces, pa.binary())], names=["h", "c", "lo", "words"])
 
-    return mapped(base.select(F.col("text").cast("binary").alias("text"), "wanted"), fetch, "h long, c long, lo long, words binary")
+    return mapped(base.select(F.col("text").cast("binary").alias("text"), "wanted", "doc_id"), fetch, "h long, c long, lo long, words binary")  # doc_id: so that all joins with the texts share one shuffle of them
 
 
 def _matched(content: DataFrame, length: int) -> DataFrame:
@@ -180,31 +166,42 @@ def _matched(content: DataFrame, length: int) -> DataFrame:
     return mapped(content.repartition("h").sortWithinPartitions("h", "lo"), stream, "h long, c long, `from` int, n int")
 
 
+def _windows(content: DataFrame, length: int) -> DataFrame:
+    """h, c, from and n (1) of the windows of a context that contexts of earlier documents hold, by the windows' own hashes."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows(batches):
+            for h, c, lo, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                w = gram_hashes(np.frombuffer(words.as_py(), np.uint64), length)
+                yield pa.record_batch([pa.array(np.full(len(w), h)), pa.array(np.full(len(w), c)), pa.array(np.full(len(w), lo)), pa.array(np.arange(len(w), dtype=np.int32)), pa.array(w.view(np.int64))], names=["h", "c", "lo", "from", "w"])
+
+    one = mapped(content, cut, "h long, c long, lo long, `from` int, w long")
+    first = one.groupBy("w").agg(F.min("lo").alias("first"))
+    return one.join(first, "w").filter("lo > first").select("h", "c", "from", F.lit(1).alias("n"))
+
+
 def _runs(base: DataFrame, length: int, bound: int) -> DataFrame:
     """row, start and n of the runs of windows that a document with a smaller id holds too."""
-    out, hot = None, None
-    for level in range(len(_levels(length))):
-        source = base if hot is None else base.join(hot, "row")
-        t = stored(_contexts(source.filter(F.col("doc_id").isNotNull()), length, level), "contexts")
-        context = t.groupBy("h", "c").agg(F.min(F.struct("doc_id", "row", "start", "n")).alias("first"), F.max("doc_id").alias("hi"))
-        anchor = context.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"), F.min("first.doc_id").alias("lo"), F.max("hi").alias("top")).filter("lo < top")
-        split = anchor.filter(F.col("contexts") > bound).select("h") if level + 1 < len(_levels(length)) else None
-        if split is not None and (split := stored(split, "hot-anchors")).isEmpty():
-            split = None
-        if split is not None:
-            context = context.join(split, "h", "left_anti")
-            anchor = anchor.join(split, "h", "left_anti")
-        copies = t.join(context.filter("first.doc_id < hi").select("h", "c", F.col("first.doc_id").alias("lo")), ["h", "c"]).filter("doc_id > lo").select("row", "start", "n")
-        several = anchor.filter(F.col("contexts") > 1).select("h")
-        wanted = context.join(several, "h").groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct("h", "c", F.col("first.doc_id").alias("lo"), F.col("first.start").alias("start"), F.col("first.n").alias("n"))).alias("wanted"))
-        found = _matched(_content(base.join(wanted, "row"), length), length)
-        lows = context.select("h", "c", F.col("first.doc_id").alias("lo"))
-        parts = found.distinct().join(lows, ["h", "c"]).join(t.drop("n"), ["h", "c"]).filter("doc_id = lo").select("row", (F.col("start") + F.col("from")).alias("start"), "n")
-        out = copies.unionByName(parts) if out is None else out.unionByName(copies).unionByName(parts)
-        if split is None:
-            break
-        hot = t.join(split, "h").groupBy("row").agg(F.collect_set("h").alias("hot"))
-    return out
+    every = stored(_contexts(base.filter(F.col("doc_id").isNotNull()), length), "contexts")
+    shared = every.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h")
+    t = stored(every.join(shared, "h"), "shared-contexts")
+    release(every)
+    context = t.groupBy("h", "c").agg(F.min(F.struct("doc_id", "row", "start", "n")).alias("first"), F.max("doc_id").alias("hi"))
+    context = context.select("h", "c", F.col("first.doc_id").alias("lo"), "hi", F.col("first.row").alias("row"), F.col("first.start").alias("start"), F.col("first.n").alias("n"))
+    context = stored(context.join(context.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")), "h"), "distinct-contexts")
+
+    def content(which: str) -> DataFrame:
+        these = context.filter(which).groupBy("row").agg(F.collect_list(F.struct("h", "c", "lo", "start", "n")).alias("wanted"))
+        return _content(base.join(these, "row"), length)
+
+    found = _matched(content(f"contexts > 1 AND contexts <= {bound}"), length)
+    if not context.filter(f"contexts > {bound}").isEmpty():
+        found = found.unionByName(_windows(content(f"contexts > {bound}"), length))
+    # a document later than a context's first loses all of it; the first itself what an automaton or a window's hash found
+    placed = t.join(context.filter("contexts > 1 OR lo < hi").select("h", "c", "lo"), ["h", "c"])
+    own = placed.filter("doc_id = lo").select("row", "h", "c", "start")
+    parts = own.join(found, ["h", "c"]).select("row", (F.col("start") + F.col("from")).alias("start"), found["n"])
+    return placed.filter("doc_id > lo").select("row", "start", t["n"]).unionByName(parts)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, bound: int = 2000) -> DataFrame:

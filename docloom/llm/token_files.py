@@ -25,7 +25,7 @@ SCHEMA = T.StructType(
     ]
 )
 #: ids of 16 to 17 bits take that many bits each in ORC's second run-length encoding; a general compressor gains little on top of it.
-OPTIONS = {"orc.compress": "LZ4", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true"}
+OPTIONS = {"orc.compress": "NONE", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true"}
 
 
 def _arrays(data: list[bytes]) -> pa.Array:
@@ -47,7 +47,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 
         part, at, encode_text, end = TaskContext.get().partitionId(), 0, encoder(tokenizer).encode, np.asarray([end_id], "<u4").tobytes()
         for b in rows(batches):
-            data = [encode_text(t.as_py()) + end for t in b.column(1)]
+            data = [ids + end for ids in encode_text(t.as_py() for t in b.column(1))]
             n = np.asarray([len(x) // 4 for x in data], np.int64)
             starts = at + np.cumsum(n) - n
             at += int(n.sum())
@@ -71,7 +71,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     def checksum(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, k = b.column("ids"), b.schema.get_field_index("ids")
-            ends, values = np.asarray(ids.offsets), np.asarray(ids.values).astype("<u4", copy=False)
+            ends, values = np.asarray(ids.offsets), np.asarray(ids.values).view("<u4")
             crc = [zlib.crc32(values[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
             kept = [b.column(i) for i in range(b.num_columns) if i != k]
             yield pa.record_batch([*kept, pa.array(crc, pa.int64())], names=["doc_id", "part", "part_start", "n_tokens", "ids_crc32"])

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 
 #: Letters, digits and white space among the characters PLAIN allows, for the cut of the byte-level format below.
@@ -16,8 +16,10 @@ LETTER, DIGIT, BLANK = "A-Za-zªµºÀ-ÖØ-öø-ˁ", "0-9²³¹¼-¾", " \t-\r\
 BYTE_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{LETTER}{DIGIT}{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
 #: Texts of Latin letters, digits and common signs, for which the cut is known to the character; others go through the library whole.
 PLAIN = "[\x00-\x1b\x20-ˁ‐-‧€]*"
-#: Entries a worker keeps at most; beyond it starts afresh, so memory is bounded and results are the same.
-CACHE = 500_000
+#: Entries a worker keeps; beyond, the later half goes, so memory is bounded and results are the same.
+CACHE = 1_000_000
+#: Characters of text in work at a time.
+STEP = 1 << 20
 #: Longer pre-tokens are encoded where they occur and not kept.
 LONG = 64
 
@@ -41,6 +43,16 @@ def _open(path: str):
     return tok
 
 
+def forget(known: dict, new: list) -> None:
+    """Drop long entries; of too many keep those met first, which are the frequent ones."""
+    for w in new:
+        if len(w) > LONG:
+            del known[w]
+    if len(known) > CACHE:
+        for w in list(known)[CACHE // 2 :]:
+            del known[w]
+
+
 class ByteLevelEncoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes.
 
@@ -55,24 +67,33 @@ class ByteLevelEncoder:
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.plain(text) or any(s in text for s in self.special):
-            return self._whole([text])[0]
-        parts, known = self.cut(text), self.known
-        if new := [p for p in set(parts) if p not in known]:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(parts))
-            known.update(zip(new, self._whole(new), strict=True))
-        out = b"".join(map(known.__getitem__, parts))
-        for p in new:
-            if len(p) > LONG:
-                del known[p]
-        return out
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text, in order; about STEP characters are in work at a time."""
+        held: list[str] = []
+        size = 0
+        for t in texts:
+            held.append(t or "")
+            size += len(held[-1])
+            if size >= STEP:
+                yield from self._some(held)
+                held, size = [], 0
+        yield from self._some(held)
+
+    def _some(self, texts: list[str]) -> Iterator[bytes]:
+        known = self.known
+        parts = [self.cut(t) if self.plain(t) and not any(s in t for s in self.special) else None for t in texts]
+        distinct: set[str] = set()
+        for p in parts:
+            if p is not None:
+                distinct.update(p)
+        new = list(distinct.difference(known))
+        for at in range(0, len(new), 20_000):
+            known.update(zip(new[at : at + 20_000], self._whole(new[at : at + 20_000]), strict=True))
+        for t, p in zip(texts, parts, strict=True):
+            yield b"".join(map(known.__getitem__, p)) if p is not None else self._whole([t])[0]
+        forget(known, new)
 
 
 class PieceCounter:
@@ -88,17 +109,12 @@ class PieceCounter:
 
     def count(self, frequencies: list[Counter]) -> list[int]:
         known = self.known
-        new = list({w for f in frequencies for w in f if w not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list({w for f in frequencies for w in f})
+        new = list(set().union(*frequencies).difference(known))
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             known.update(zip(some, (len(e) for e in self.tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)), strict=True))
         out = [sum(n * known[w] for w, n in f.items()) for f in frequencies]
-        for w in new:
-            if len(w) > LONG:
-                del known[w]
+        forget(known, new)
         return out
 
 
