@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import CHAT_SQL, link_quotations
 from .common import shared_path, table
+from .decontamination import benchmark_matches
 from .language import identify_language
 from .packing import best_fit_packing
 from .quality import QUALITY_SQL, quality_report
@@ -21,6 +23,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_report(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotations(table(spark, sf_dir, "conversations"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
@@ -29,6 +35,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -53,6 +63,17 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op3_quality_rules, op4_language_id, op6_simhash_components, op7_secret_scan, op8_token_counts, op9_token_files, op10_best_fit_packing)
+    for f in (
+        op1_substring_dedup,
+        op2_chat_format,
+        op3_quality_rules,
+        op4_language_id,
+        op5_decontamination,
+        op6_simhash_components,
+        op7_secret_scan,
+        op8_token_counts,
+        op9_token_files,
+        op10_best_fit_packing,
+    )
 }
-ORACLES: dict[str, str] = {"op1_substring_dedup": SUBSTRING_SQL, "op3_quality_rules": QUALITY_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": SUBSTRING_SQL, "op2_chat_format": CHAT_SQL, "op3_quality_rules": QUALITY_SQL}
