@@ -12,12 +12,12 @@ import pyarrow as pa
 
 #: Letters, digits and white space among the characters PLAIN allows, for the cut of the byte-level format below.
 LETTER, DIGIT, BLANK = "A-Za-zªµºÀ-ÖØ-öø-ˁ", "0-9²³¹¼-¾", " \t-\r\x85\xa0"
-#: How the byte-level vocabulary's own pre-tokenizer cuts texts (a fixed value of that public format), for PLAIN texts.
-BYTE_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{LETTER}{DIGIT}{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
+#: How the byte-level vocabulary's own pre-tokenizer cuts texts (a fixed rule of that public format), for PLAIN texts; what is most frequent is tried first.
+BYTE_LEVEL = rf" ?[{LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{DIGIT}]+| ?[^{LETTER}{DIGIT}{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
 #: Texts of Latin letters, digits and common signs, for which the cut is known to the character; others go through the library whole.
 PLAIN = "[\x00-\x1b\x20-ˁ‐-‧€]*"
 #: Entries a worker keeps; beyond, the later half goes, so memory is bounded and results are the same.
-CACHE = 1_000_000
+CACHE = 800_000
 #: Characters of text in work at a time.
 STEP = 1 << 20
 #: Longer pre-tokens are encoded where they occur and not kept.
@@ -53,6 +53,13 @@ def forget(known: dict, new: list) -> None:
             del known[w]
 
 
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it is visible in Latin-1, else the next from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class ByteLevelEncoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes.
 
@@ -63,11 +70,16 @@ class ByteLevelEncoder:
     def __init__(self, path: str):
         self.tok = _open(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.model, self.characters = self.tok.model, byte_characters()
         self.cut, self.plain = re.compile(BYTE_LEVEL).findall, re.compile(PLAIN).fullmatch
         self.known: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, part: str) -> bytes:
+        """The ids of one pre-token, by the library's model alone."""
+        return array("I", [x.id for x in self.model.tokenize(part.encode().decode("latin1").translate(self.characters))]).tobytes()
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, in order; about STEP characters are in work at a time."""
@@ -89,10 +101,11 @@ class ByteLevelEncoder:
             if p is not None:
                 distinct.update(p)
         new = list(distinct.difference(known))
-        for at in range(0, len(new), 20_000):
-            known.update(zip(new[at : at + 20_000], self._whole(new[at : at + 20_000]), strict=True))
+        for p in new:
+            known[p] = self._piece(p)
+        here = {p: known[p] for p in distinct}.__getitem__  # small enough for the processor's caches
         for t, p in zip(texts, parts, strict=True):
-            yield b"".join(map(known.__getitem__, p)) if p is not None else self._whole([t])[0]
+            yield b"".join(map(here, p)) if p is not None else self._whole(t)
         forget(known, new)
 
 
