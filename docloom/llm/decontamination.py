@@ -3,6 +3,8 @@ templates are hash-joined, and the slots of matching windows must correspond con
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,35 +25,38 @@ SMALL = 1_000_000
 def _canonical(text: Column) -> Column:
     """The text with typed slots, in lower case and without signs; every white-space character stays where it is.
 
-    Any word with a digit is a number; a word with a capital that follows a small letter, comma or semicolon and a blank is a name;
-    a unit is one of UNITS after a number. The patterns start at a word's start and never step back, so that long words cost no
-    more than others.
+    A number is what starts with a digit, to the word's end; a name is a word with a capital that follows a small letter, comma or
+    semicolon and a blank; a unit is one of UNITS after a number. Each pattern starts with one character and never steps back, so
+    that long words cost no more than others.
     """
     t = F.coalesce(text, F.lit(""))
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}\d,;] )\p{Lu}[\p{L}'’-]*+(?![^ \t-\r\p{P}])", NAME)
-    t = F.regexp_replace(t, r"(?<![^ \t-\r])[^ \t-\r\d]*+\d[^ \t-\r]*+", NUMBER)
+    t = F.regexp_replace(t, r"\p{Lu}(?<=[\p{Ll}\d,;] \p{Lu})[\p{L}'’-]*+(?![^ \t-\r\p{P}])", NAME)
+    t = F.regexp_replace(t, r"\d[^ \t-\r]*+", NUMBER)
     t = F.when(F.contains(t, F.lit(NUMBER + " ")), F.regexp_replace(t, rf"(?i)(?<={NUMBER} )(?:{'|'.join(UNITS)})(?![^ \t-\r\p{{P}}])", UNIT)).otherwise(t)
     return F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}{NUMBER}-{UNIT} \t-\r]", "")
 
 
+def _is_slot(word: Column) -> Column:
+    return word.rlike(f"[{NUMBER}-{UNIT}]")
+
+
 def _template(text: Column) -> Column:
     """The template's words."""
     return F.filter(F.split(_canonical(text), SPACE + "+"), lambda w: w != "")
 
 
 def _pairs(text: Column) -> Column:
-    """array of (word, filler): the template's words beside those of the text in lower case, without signs at their ends."""
-    raw = F.transform(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    return F.filter(F.zip_with(F.split(_canonical(text), SPACE), raw, lambda a, b: F.struct(a.alias("word"), b.alias("filler"))), lambda p: p["word"] != "")
+    """array of (word, filler): the template's words; beside a slot what fills it, in lower case and without signs at its ends."""
+    filler = lambda a, b: F.when(_is_slot(a), F.regexp_replace(F.lower(b), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    return F.filter(F.zip_with(F.split(_canonical(text), SPACE), F.split(F.coalesce(text, F.lit("")), SPACE), lambda a, b: F.struct(a.alias("word"), filler(a, b).alias("filler"))), lambda p: p["word"] != "")
 
 
-def _windows(words: Column, size: int) -> Column:
-    """A hash of each run of size words."""
+def _windows(df: DataFrame, keep: list[str], words: str, size: int) -> DataFrame:
+    """keep, pos and w, a hash, of each run of size words: the words of a run come side by side out of shifted arrays, so that they are hashed in generated code."""
     n = F.size(words)
-    out = F.transform(words, lambda w: F.xxhash64(F.lit(size), w))
-    for j in range(1, size):
-        out = F.zip_with(out, F.slice(words, F.lit(j + 1), n), lambda h, w: F.xxhash64(h, w))
-    return F.slice(out, F.lit(1), F.greatest(n - (size - 1), F.lit(0)))
+    shifted = [F.slice(words, F.lit(j + 1), n).alias(f"w{j}") for j in range(size)]
+    runs = df.select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "z")).filter(F.col(f"z.w{size - 1}").isNotNull())
+    return runs.select(*keep, "pos", F.xxhash64(F.lit(size), *[F.col(f"z.w{j}") for j in range(size)]).alias("w"))
 
 
 def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -66,13 +71,13 @@ def _fits(df: DataFrame) -> DataFrame:
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame]:
     """Windows (item_id, items, size, ipos, w, windows) and slots (item_id, pos, kind, filler) of the benchmark; an item of fewer words is one window."""
-    items = _held(benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("item"), F.col(text_col).alias("text")).dropDuplicates(["item"]), "pairs", _pairs(F.col("text")))
-    items = _held(items.filter(F.size("pairs") > 0), "words", F.transform("pairs", lambda p: p["word"])).withColumn("size", F.least(F.size("words"), F.lit(size)))
-    by = F.when(F.lit(False), F.array().cast("array<bigint>"))
-    for s in range(1, size + 1):
-        by = by.when(F.col("size") == s, _windows(F.col("words"), s))
-    windows = stored(items.withColumn("windows", F.size("words") - F.col("size") + 1).select("item_id", "item", "size", "windows", F.posexplode(by).alias("ipos", "w")), "item-windows")
-    return windows, items.select("item", F.posexplode("pairs").alias("pos", "p")).select("item", "pos", F.col("p.word").alias("kind"), F.col("p.filler").alias("filler")).filter(F.col("kind").isin(NUMBER, NAME, UNIT))
+    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("item"), F.col(text_col).alias("text")).dropDuplicates(["item"])
+    items = items.select("item_id", "item", _pairs(F.col("text")).alias("pairs")).filter(F.size("pairs") > 0)
+    items = stored(items.select("item_id", "item", "pairs", F.transform("pairs", lambda p: p["word"]).alias("words"), F.least(F.size("pairs"), F.lit(size)).alias("size")), "items")
+    by_size = [_windows(items.filter(F.col("size") == s).withColumn("windows", F.size("words") - F.col("size") + 1), ["item_id", "item", "size", "windows"], "words", s) for s in range(1, size + 1)]
+    windows = stored(reduce(DataFrame.unionByName, by_size).withColumnRenamed("pos", "ipos"), "item-windows")
+    slots = items.select("item", F.posexplode("pairs").alias("pos", "p")).filter(_is_slot(F.col("p.word")))
+    return windows, slots.select("item", "pos", F.col("p.word").alias("kind"), F.col("p.filler").alias("filler"))
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 5, share: float = 0.5, agreement: float = 0.8) -> DataFrame:
@@ -89,22 +94,17 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     windows, item_slots = _items(benchmark, item_col, item_text_col, size)
     sizes = [r[0] for r in windows.select("size").distinct().collect()]  # at most `size` values
     base = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    every = lambda words: F.flatten(F.array(*[_windows(words, s) for s in sizes])) if sizes else F.array().cast("array<bigint>")
-    found = _held(base, "words", _template(F.col("text"))).select("row", F.explode(every(F.col("words"))).alias("w"))
+    templates = _held(base, "words", _template(F.col("text"))).select("row", "words")
+    found = _union([_windows(templates, ["row"], "words", s).select("row", "w") for s in sizes], "row long, w long", docs)
     found = found.join(_fits(windows.select("item", "windows", "w").distinct()), "w").distinct()
     pairs = stored(_candidates(found, windows, share), "window-pairs")
 
     held = _held(base.join(_fits(pairs.select("row").distinct()), "row").dropDuplicates(["row"]), "pairs", _pairs(F.col("text")))
-    held = _held(held, "words", F.transform("pairs", lambda p: p["word"])).select("row", "doc_id", "pairs", "words")
-    at = None
-    for s in sizes:
-        one = held.select("row", F.posexplode(_windows(F.col("words"), s)).alias("dpos", "w"))
-        at = one if at is None else at.unionByName(one)
-    if at is None:
-        at = held.select("row", F.lit(0).alias("dpos"), F.lit(0).cast("long").alias("w")).filter(F.lit(False))
+    held = stored(held.select("row", "doc_id", F.transform("pairs", lambda p: p["word"]).alias("words"), F.filter(F.transform("pairs", lambda p, i: F.struct(i.alias("dpos"), p["word"].alias("kind"), p["filler"].alias("now"))), lambda p: p["now"].isNotNull()).alias("slots")), "candidates")
+    at = _union([_windows(held, ["row"], "words", s).select("row", F.col("pos").alias("dpos"), "w") for s in sizes], "row long, dpos int, w long", docs)
     match = at.join(pairs, "row").join(windows.select("item", "w", "ipos", "size"), ["item", "w"])
     match = stored(match.select("row", "item", "ipos", "size", (F.col("dpos") - F.col("ipos")).alias("shift")), "window-matches")
-    doc_slots = held.select("row", F.posexplode("pairs").alias("dpos", "p")).select("row", "dpos", F.col("p.word").alias("kind"), F.col("p.filler").alias("now")).filter(F.col("kind").isin(NUMBER, NAME, UNIT))
+    doc_slots = held.select("row", F.explode("slots").alias("p")).select("row", "p.*")
     slots = match.select("row", "item", "shift", F.explode(F.sequence(F.col("ipos"), F.col("ipos") + F.col("size") - 1)).alias("pos")).distinct()
     slots = slots.join(item_slots, ["item", "pos"]).withColumn("dpos", F.col("pos") + F.col("shift")).join(doc_slots, ["row", "dpos", "kind"])
     said = slots.groupBy("row", "item", "shift", "kind", "filler", "now").agg(F.count(F.lit(1)).alias("n"))
@@ -119,6 +119,10 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     return out.join(ids, "row").select("row", "doc_id", "item_id", F.col("windows").cast("long").alias("n_windows"), F.col("n_matched").cast("long").alias("n_matched"), F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"))
 
 
+def _union(parts: list[DataFrame], schema: str, like: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts) if parts else like.sparkSession.createDataFrame([], schema)
+
+
 def _candidates(found: DataFrame, windows: DataFrame, share: float) -> DataFrame:
     """row and item of the documents that hold enough different windows of an item; found: row, item, windows and w, distinct."""
     needed = windows.groupBy("item").agg(F.countDistinct("w").alias("different"))
