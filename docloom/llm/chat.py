@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: One or more quote marks before a line's text.
-MARK = r"^(?:[ \t]*>)+"
+#: Quote marks, and blanks among them, before a line's text.
+MARK = r"^[ \t>]*>"
 
 
 def _lines(text: Column) -> Column:
@@ -79,7 +79,7 @@ def link_quotations(conversations: DataFrame, conv_col: str = "conv_id", turn_co
 
 
 CHAT_SQL = r"""
-WITH RECURSIVE l AS (SELECT conv_id, turn, role, rid, i, regexp_replace(x, '^(?:[ \t]*>)+', '') AS body, length(regexp_replace(regexp_extract(x, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level
+WITH RECURSIVE l AS (SELECT conv_id, turn, role, rid, i, regexp_replace(x, '^[ \t>]*>', '') AS body, length(regexp_replace(regexp_extract(x, '^[ \t>]*>'), '[^>]', '', 'g')) AS level
   FROM (SELECT conv_id, turn, role, rid, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM (SELECT *, row_number() OVER () AS rid, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations))),
 k AS (SELECT *, CASE WHEN trim(regexp_replace(body, '\s', ' ', 'g')) = '' THEN -1 ELSE level END AS kind FROM l),
 e AS (SELECT *, CASE WHEN kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY rid ORDER BY i) THEN 1 ELSE 0 END AS edge FROM k),
