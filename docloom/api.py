@@ -121,7 +121,7 @@ class Query:
 
     def test(self, document: dict) -> bool:
         df = documents(SparkSession.active(), [document])
-        return df.select(self.column(df).alias("x")).first()[0]
+        return bool(df.select(self.column(df).alias("x")).first()[0])
 
     def find(self, source: Any, projection: dict | None = None) -> Cursor:
         return Cursor(source, self.criteria, projection, self.options)

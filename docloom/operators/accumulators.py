@@ -50,12 +50,13 @@ def _by(keys: list[bool]) -> Callable[[Column, Column], Column]:
     return order
 
 
-def gathered(g: Group, value: Column, order: list[tuple[Column, bool]] | None = None) -> Column:
-    """The group's values as an array in order, nulls too."""
+def gathered(g: Group, value: Column, order: list[tuple[Column, bool]] | None = None, comparable: bool = True) -> Column:
+    """The group's values as an array in order, nulls too. comparable: whether values can stand in a sort (maps can't)."""
     order = g.order if order is None else order
     rows = g.over(F.collect_list(F.struct(*_keys(order), value.alias("v"))))
     if order:
-        rows = F.sort_array(rows, False) if all(d for _, d in order) else F.sort_array(rows) if not any(d for _, d in order) else F.array_sort(rows, _by([d for _, d in order]))
+        down = {d for _, d in order}
+        rows = F.sort_array(rows, not down.pop()) if len(down) == 1 and comparable else F.array_sort(rows, _by([d for _, d in order]))
     return F.transform(rows, lambda r: r["v"])
 
 
@@ -172,7 +173,7 @@ def _merge_objects(s: Scope, arg: Any, g: Group) -> Column:
     c, t = s.typed(arg)
     if isinstance(t, T.MapType):
         empty = F.map_from_arrays(F.array().cast("array<string>"), F.array()).cast(t)
-        return F.aggregate(F.filter(gathered(g, c), lambda m: m.isNotNull()), empty, over)
+        return F.aggregate(F.filter(gathered(g, c, comparable=False), lambda m: m.isNotNull()), empty, over)
     if not isinstance(t, T.StructType):
         raise SpecError("$mergeObjects needs objects")
     rows = gathered(g, c)

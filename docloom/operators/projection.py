@@ -54,12 +54,17 @@ def _flag(v: Any) -> bool | None:
     return bool(v) if isinstance(v, (bool, int)) and v in (0, 1) else None
 
 
+def _is_place(arg: Any) -> bool:
+    """n or [skip, n], the operand of the projection $slice; the expression's begins with an array."""
+    return all(isinstance(x, int) for x in (arg if isinstance(arg, (list, tuple)) else [arg]))
+
+
 def excludes(spec: dict, id_key: str) -> bool:
     """Whether a projection names what to leave out; mixing both (but for the id) is an error."""
     flags = {_flag(v) for k, v in _leaves(spec) if k != id_key and _flag(v) is not None}
     if len(flags) > 1:
         raise SpecError("a projection includes fields or excludes them, not both")
-    computed = any(_flag(v) is None and not (isinstance(v, dict) and set(v) & {"$slice"}) for k, v in _leaves(spec) if k != id_key)
+    computed = any(_flag(v) is None and not (isinstance(v, dict) and "$slice" in v and _is_place(v["$slice"])) for k, v in _leaves(spec) if k != id_key)
     if flags == {False} and computed:
         raise SpecError("an exclusion has no computed fields")
     return flags == {False} or (not flags and not computed)
@@ -102,7 +107,7 @@ def _value(s: Scope, at: tuple[Column, T.DataType] | None, v: Any) -> Column | N
     if isinstance(v, dict) and len(v) == 1:
         ((name, arg),) = v.items()
         own = s.options.context.get("projection", name)
-        if own and at and (name == "$elemMatch" or not (isinstance(arg, (list, tuple)) and arg and isinstance(arg[0], (str, list, dict)))):
+        if own and at and (name != "$slice" or _is_place(arg)):
             return own(s, at, arg)
     return s.compile(v)
 

@@ -1,4 +1,4 @@
-"""Criteria: from a filter document to a boolean Column that is never null."""
+"""Criteria: from a filter document to a boolean Column, which is true where a document matches and false or null elsewhere."""
 
 from __future__ import annotations
 
@@ -13,14 +13,14 @@ from pyspark.sql import types as T
 from ..context import SpecError, register
 from ..functions.scalar import CODES, type_name
 from ..plans.scope import Scope
-from ..plans.values import anywhere, kind, kind_of, literal, regex, same
+from ..plans.values import anywhere, closed, kind, kind_of, literal, regex, same
 
 #: Operators that stand where a field's name would.
 TOP = ("$and", "$or", "$nor", "$expr", "$jsonSchema", "$where")
 
 
 def compile_query(s: Scope, criteria: dict) -> Column:
-    """All of the criteria; true or false for every row."""
+    """All of the criteria."""
     out = F.lit(True)
     for key, value in criteria.items():
         if key.startswith("$"):
@@ -75,7 +75,7 @@ def conditions(s: Scope, at: tuple[Column, T.DataType, list[str]], value: Any) -
 def _any_element(c: Column, t: T.DataType, test) -> Column:
     """test on the value, or on some element of an array, however deep."""
     if isinstance(t, T.ArrayType):
-        return F.coalesce(F.exists(c, lambda x: _any_element(x, t.elementType, test)), F.lit(False))
+        return F.exists(c, lambda x: _any_element(x, t.elementType, test))
     return test(c, t)
 
 
@@ -94,7 +94,7 @@ def equals(c: Column, t: T.DataType, v: Any) -> Column:
     if isinstance(v, re.Pattern):
         return _any_element(c, t, lambda x, e: _matches(x, e, v))
     out = same(c, t, v)
-    return out | F.coalesce(F.exists(c, lambda x: equals(x, t.elementType, v)), F.lit(False)) if isinstance(t, T.ArrayType) else out
+    return out | F.exists(c, lambda x: equals(x, t.elementType, v)) if isinstance(t, T.ArrayType) else out
 
 
 def is_in(c: Column, t: T.DataType, values: list) -> Column:
@@ -104,14 +104,23 @@ def is_in(c: Column, t: T.DataType, values: list) -> Column:
             out = out | (F.lit(False) if isinstance(v, re.Pattern) else equals(c, t, v))
         return out
     have = [v for v in values if kind_of(v) == kind(t)]
-    out = F.coalesce(c.isin(*[literal(v, t) for v in have]), F.lit(False)) if have else F.lit(False)
+    out = c.isin(*[literal(v, t) for v in have]) if have else F.lit(False)
     return out | c.isNull() if None in values else out
 
 
 register("query", "$eq", lambda s, at, v: anywhere(*at, lambda c, t: equals(c, t, v)))
-register("query", "$ne", lambda s, at, v: ~anywhere(*at, lambda c, t: equals(c, t, v)))
+
+
+@register("query", "$ne")
+def _ne(s: Scope, at: tuple, v: Any) -> Column:
+    c, t, parts = at
+    if not parts and kind(t) == kind_of(v) and kind(t) in ("number", "string", "bool", "date"):
+        return c.isNull() | (c != literal(v, t))  # as a scan can take it
+    return ~closed(anywhere(*at, lambda c, t: equals(c, t, v)))
+
+
 register("query", "$in", lambda s, at, v: anywhere(*at, lambda c, t: is_in(c, t, v)))
-register("query", "$nin", lambda s, at, v: ~anywhere(*at, lambda c, t: is_in(c, t, v)))
+register("query", "$nin", lambda s, at, v: ~closed(anywhere(*at, lambda c, t: is_in(c, t, v))))
 
 
 def _ordered(name: str, f, null_too: bool) -> None:
@@ -119,7 +128,7 @@ def _ordered(name: str, f, null_too: bool) -> None:
     def test(c: Column, t: T.DataType, v: Any) -> Column:
         if v is None:
             return c.isNull() if null_too else F.lit(False)
-        return F.coalesce(f(c, literal(v, t)), F.lit(False)) if kind(t) == kind_of(v) else F.lit(False)
+        return f(c, literal(v, t)) if kind(t) == kind_of(v) else F.lit(False)
 
 
 _ordered("$gt", lambda a, b: a > b, False)
@@ -131,12 +140,12 @@ _ordered("$lte", lambda a, b: a <= b, True)
 @_predicate("$mod")
 def _mod(c: Column, t: T.DataType, v: Any) -> Column:
     divisor, remainder = v
-    return F.coalesce(F.try_mod(c, F.lit(divisor)) == remainder, F.lit(False)) if kind(t) == "number" else F.lit(False)
+    return (F.try_mod(c, F.lit(divisor)) == remainder) if kind(t) == "number" else F.lit(False)
 
 
 @_predicate("$regex")
 def _matches(c: Column, t: T.DataType, v: Any) -> Column:
-    return F.coalesce(c.rlike(regex(v)), F.lit(False)) if kind(t) == "string" else F.lit(False)
+    return c.rlike(regex(v)) if kind(t) == "string" else F.lit(False)
 
 
 def _mask(v: Any) -> int:
@@ -149,14 +158,14 @@ for _name, _test in {
     "$bitsAnyClear": lambda got, m: got != m,
     "$bitsAnySet": lambda got, m: got != 0,
 }.items():
-    _predicate(_name)(lambda c, t, v, f=_test: F.coalesce(f(c.cast("long").bitwiseAND(F.lit(_mask(v)).cast("long")), _mask(v)), F.lit(False)) if kind(t) == "number" else F.lit(False))
+    _predicate(_name)(lambda c, t, v, f=_test: f(c.cast("long").bitwiseAND(F.lit(_mask(v)).cast("long")), _mask(v)) if kind(t) == "number" else F.lit(False))
 
 
 @register("query", "$exists")
 def _exists(s: Scope, at: tuple, v: Any) -> Column:
     """A value that is there; null counts as missing."""
     found = anywhere(*at, lambda c, t: c.isNotNull())
-    return found if v else ~found
+    return found if v else ~closed(found)
 
 
 @register("query", "$type")
@@ -167,14 +176,14 @@ def _type(s: Scope, at: tuple, v: Any) -> Column:
         hit = type_name(t) in wanted or ("number" in wanted and kind(t) == "number")
         own = c.isNotNull() if hit else F.lit(False)
         own = own | c.isNull() if "null" in wanted else own
-        return own | F.coalesce(F.exists(c, lambda x: test(x, t.elementType)), F.lit(False)) if isinstance(t, T.ArrayType) else own
+        return own | F.exists(c, lambda x: test(x, t.elementType)) if isinstance(t, T.ArrayType) else own
 
     return anywhere(*at, test)
 
 
 @register("query", "$size")
 def _size(s: Scope, at: tuple, v: Any) -> Column:
-    return anywhere(*at, lambda c, t: F.coalesce(F.size(c) == v, F.lit(False)) if isinstance(t, T.ArrayType) else F.lit(False))
+    return anywhere(*at, lambda c, t: (F.size(c) == v) if isinstance(t, T.ArrayType) else F.lit(False))
 
 
 def element_query(s: Scope, x: Column, t: T.DataType, spec: Any) -> Column:
@@ -186,7 +195,7 @@ def element_query(s: Scope, x: Column, t: T.DataType, spec: Any) -> Column:
 
 def _some(s: Scope, c: Column, e: T.DataType, spec: Any) -> Column:
     """Whether an element meets a condition."""
-    return F.coalesce(F.exists(c, lambda x: element_query(s, x, e, spec)), F.lit(False))
+    return F.exists(c, lambda x: element_query(s, x, e, spec))
 
 
 @register("query", "$elemMatch")
@@ -211,7 +220,7 @@ def _all(s: Scope, at: tuple, v: list) -> Column:
 
 @register("query", "$not")
 def _not(s: Scope, at: tuple, v: Any) -> Column:
-    return ~conditions(s, at, v)
+    return ~closed(conditions(s, at, v))
 
 
 def _joined(s: Scope, specs: list, any_: bool) -> Column:
@@ -223,7 +232,7 @@ def _joined(s: Scope, specs: list, any_: bool) -> Column:
 
 register("query", "$and", lambda s, at, v: _joined(s, v, False))
 register("query", "$or", lambda s, at, v: _joined(s, v, True))
-register("query", "$nor", lambda s, at, v: ~_joined(s, v, True))
+register("query", "$nor", lambda s, at, v: ~closed(_joined(s, v, True)))
 register("query", "$expr", lambda s, at, v: s.truth(v))
 
 

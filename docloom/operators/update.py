@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..context import Options, SpecError, register
 from ..functions.collections import sorted_by
 from ..plans.scope import Scope
-from ..plans.values import kind, kind_of, literal, same
+from ..plans.values import closed, kind, kind_of, literal, same
 from .paths import Change, put_all
 from .query import compile_query, conditions, element_query, equals, is_in
 
@@ -111,8 +111,8 @@ def _pull(s: Scope, v: Any) -> Change:
     def run(c: Column, t: T.DataType) -> Column:
         e = _array(c, t, "$pull")
         if isinstance(v, dict):
-            return F.filter(c, lambda x: ~element_query(s, x, e, v))
-        return F.filter(c, lambda x: ~equals(x, e, v))
+            return F.filter(c, lambda x: ~closed(element_query(s, x, e, v)))
+        return F.filter(c, lambda x: ~closed(equals(x, e, v)))
 
     return run
 
@@ -121,7 +121,7 @@ def _pull(s: Scope, v: Any) -> Change:
 def _pull_all(s: Scope, v: list) -> Change:
     def run(c: Column, t: T.DataType) -> Column:
         e = _array(c, t, "$pullAll")
-        return F.filter(c, lambda x: ~is_in(x, e, v))
+        return F.filter(c, lambda x: ~closed(is_in(x, e, v)))
 
     return run
 
@@ -191,6 +191,32 @@ def _rename(s: Scope, arg: dict) -> dict[str, Change]:
 register("update", "$rename", _rename)
 
 
+def both(a: T.DataType, b: T.DataType) -> T.DataType:
+    """A type that holds the values of two: objects have the fields of either."""
+    if isinstance(a, T.NullType) or isinstance(b, T.NullType):
+        return b if isinstance(a, T.NullType) else a
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        names = [*b.fieldNames(), *[n for n in a.fieldNames() if n not in b.fieldNames()]]
+        none = T.NullType()
+        return T.StructType([T.StructField(n, both(a[n].dataType if n in a.fieldNames() else none, b[n].dataType if n in b.fieldNames() else none)) for n in names])
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(both(a.elementType, b.elementType))
+    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType) and a != b:
+        return T.LongType() if isinstance(a, T.IntegralType) and isinstance(b, T.IntegralType) else T.DoubleType()
+    return b
+
+
+def shaped(c: Column, t: T.DataType, to: T.DataType) -> Column:
+    """A value of one type in another that holds it; fields that it lacks are null."""
+    if t == to:
+        return c
+    if isinstance(t, T.StructType) and isinstance(to, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[(shaped(c.getField(f.name), t[f.name].dataType, f.dataType) if f.name in t.fieldNames() else F.lit(None).cast(f.dataType)).alias(f.name) for f in to.fields]))
+    if isinstance(t, T.ArrayType) and isinstance(to, T.ArrayType):
+        return F.transform(c, lambda x: shaped(x, t.elementType, to.elementType))
+    return c.cast(to)
+
+
 def update(df: DataFrame, spec: dict, array_filters: list[dict] | None = None, condition: dict | None = None, options: Options | None = None, modified: str | None = None) -> DataFrame:
     """df with one update operator applied where condition holds.
 
@@ -219,13 +245,15 @@ def update(df: DataFrame, spec: dict, array_filters: list[dict] | None = None, c
         new = put_all(pair, changes, filters)
         kept = [n for n in new.columns if n not in ("__old", "__hit")]
         every = kept + [c for c in df.columns if c not in kept]
-        have = lambda n: F.col(f"__old.`{n}`") if n in df.columns else F.lit(None)
-        cols = [F.when(F.col("__hit"), F.col(f"`{n}`") if n in kept else F.lit(None)).otherwise(have(n)).alias(n) for n in (every if condition else kept)]
+        none = T.NullType()
+        types = {n: both(new.schema[n].dataType if n in kept else none, df.schema[n].dataType if n in df.columns else none) for n in every}
+        have = {n: shaped(F.col(f"__old.`{n}`"), df.schema[n].dataType, types[n]) if n in df.columns else F.lit(None) for n in every}
+        now = {n: shaped(F.col(f"`{n}`"), new.schema[n].dataType, types[n]) if n in kept else F.lit(None) for n in every}
+        cols = [F.when(F.col("__hit"), now[n]).otherwise(have[n]).alias(n) for n in (every if condition else kept)]
         if modified:
             moved = F.lit(False)
-            for p in {p.split(".")[0] for p in changes}:
-                now = F.col(f"`{p}`") if p in kept else F.lit(None)
-                moved = moved | ~(now.eqNullSafe(have(p)) if p in kept and p in df.columns and dict(new.dtypes)[p] == dict(df.dtypes)[p] else (now.isNull() & have(p).isNull()))
+            for p in {p.split(".")[0] for p in changes} & set(every):
+                moved = moved | ~now[p].eqNullSafe(have[p])
             cols.append(F.when(F.col("__hit") & moved, F.array(*[F.lit(p) for p in found(s, arg)])).otherwise(F.array().cast("array<string>")).alias(modified))
         out = new.select(*cols)
     return out

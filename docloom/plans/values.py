@@ -131,13 +131,18 @@ def anywhere(c: Column, t: T.DataType, parts: list[str], test: Callable[[Column,
         found = field(c, t, name)
         if found is None and isinstance(t, T.ArrayType):
             element, rest = t.elementType, parts[i:]
-            return F.coalesce(F.exists(c, lambda x: anywhere(x, element, rest, test)), F.lit(False))
+            return F.exists(c, lambda x: anywhere(x, element, rest, test))
         c, t = found or (F.lit(None), NULL)
     return test(c, t)
 
 
+def closed(c: Column) -> Column:
+    """False where a predicate is null: for what negates or shows it. A filter needs none, and its plain comparisons reach the scan."""
+    return F.coalesce(c, F.lit(False))
+
+
 def same(c: Column, t: T.DataType, v: Any) -> Column:
-    """Deep equality with a literal; null equals null."""
+    """Deep equality with a literal; null equals null. Like all predicates here it may be null where it doesn't hold: closed() makes that false."""
     if v is None:
         return c.isNull()
     if kind(t) != kind_of(v):
@@ -150,10 +155,10 @@ def same(c: Column, t: T.DataType, v: Any) -> Column:
             out = out & same(c.getField(n), t[n].dataType, x)
         return out
     if isinstance(t, T.MapType):
-        return F.coalesce(F.sort_array(F.map_entries(c)) == F.sort_array(F.map_entries(literal(v, t))), F.lit(False))
+        return F.sort_array(F.map_entries(c)) == F.sort_array(F.map_entries(literal(v, t)))
     if isinstance(t, T.ArrayType):
-        out = F.coalesce(F.size(c) == len(v), F.lit(False))
+        out = F.size(c) == len(v)
         for i, x in enumerate(v):
             out = out & same(F.get(c, F.lit(i)), t.elementType, x)
         return out
-    return F.coalesce(c == literal(v, t), F.lit(False))
+    return c == literal(v, t)
