@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -32,6 +34,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
         found = tempfile.mkdtemp(prefix="docloom-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -39,8 +42,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, under one folder for the application, which can go when that has ended."""
+    return f"{checkpoint_dir(spark)}/docloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

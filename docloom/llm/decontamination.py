@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, stored
 
 #: Typed placeholders, one character each.
-NUMBER, NAME, UNIT = "", "", ""
+NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 #: Units of measure and money that follow a number.
 UNITS = (
     "mm cm m km in inch inches ft feet yd yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres mg g kg gram grams "

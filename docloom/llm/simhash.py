@@ -58,30 +58,36 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.cast("binary").alias("text")), compute, "doc_id long, row long, fp long")
 
 
-def _anchors(distinct: DataFrame) -> DataFrame:
+def hamming_blocks(n: int) -> int:
+    """How many blocks of a half to make coarse for n fingerprints, so that an anchor has some dozens at most unless they are near copies; any number gives the same links."""
+    return 4 if n <= 1 << 22 else 2 if n <= 1 << 28 else 0
+
+
+def _anchors(distinct: DataFrame, blocks: int) -> DataFrame:
     """anchor and fp: each fingerprint at every anchor where it can meet one that differs in up to 4 bits.
 
     Of two such fingerprints one half of 32 bits differs in at most 2, so some word lies within 1 bit of both halves. The anchors are
-    the code words of four Hamming blocks of 7 bits and 4 plain bits: covering radius 4, and each word has one nearest. A half is
-    copied to the nearest anchor of each word within 1 bit of it (all of these lie within the covering radius plus half the
-    threshold), so the two meet at the anchor of the word between them. That makes up to 17 anchors for a half.
+    the code words of `blocks` Hamming blocks of 7 bits and of plain bits for the rest: the covering radius is `blocks`, and each
+    word has one nearest anchor. A half is copied to the nearest anchor of each word within 1 bit of it (all of these lie within the
+    covering radius plus half the threshold), so the two meet at the anchor of the word between them. With 4 blocks a half has 2^20
+    anchors and is copied to at most 17, with none 2^32 and 33.
     """
 
     def cover(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home = _home().astype(np.uint32)
-        flips = np.concatenate([[0], 1 << np.arange(32)]).astype(np.uint32)
+        home = _home().astype(np.uint64)
+        flips = np.concatenate([[0], 1 << np.arange(32)]).astype(np.uint64)
         for b in rows(batches, 8192):
             fp = np.asarray(b.column(0)).view(np.uint64)
             for half in (0, 1):
-                x = ((fp >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[:, None] ^ flips
-                at = x >> 28
-                for k in range(4):
-                    at = at << 4 | home[x >> (7 * k) & 127]
+                x = ((fp >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF))[:, None] ^ flips
+                at = x >> np.uint64(7 * blocks)
+                for k in range(blocks):
+                    at = at << np.uint64(4) | home[x >> np.uint64(7 * k) & np.uint64(127)]
                 at = np.sort(at, axis=1)
                 new = np.concatenate([np.ones((len(at), 1), bool), at[:, 1:] != at[:, :-1]], axis=1)
-                yield pa.record_batch([pa.array((at[new] | half << 20).astype(np.int32)), pa.array(np.repeat(fp, new.sum(axis=1)).view(np.int64))], names=["anchor", "fp"])
+                yield pa.record_batch([pa.array((at[new] | np.uint64(half << 32)).view(np.int64)), pa.array(np.repeat(fp, new.sum(axis=1)).view(np.int64))], names=["anchor", "fp"])
 
-    return mapped(distinct.select("fp"), cover, "anchor int, fp long")
+    return mapped(distinct.select("fp"), cover, "anchor long, fp long")
 
 
 class _Sets:
@@ -149,19 +155,19 @@ def _compared(at: DataFrame, keys: list[str], bits: int) -> DataFrame:
         if held and len(held[0][0]):
             yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    key = F.col(keys[0]).cast("long") if len(keys) == 1 else F.xxhash64(*keys)
+    key = F.col(keys[0]) if len(keys) == 1 else F.xxhash64(*keys)
     return mapped(at.select(key.alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp"), compare, "a long, b long")
 
 
-def fingerprint_links(distinct: DataFrame, bits: int = 4, bound: int = 20_000) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, bits: int = 4, bound: int = 20_000, blocks: int | None = None) -> DataFrame:
     """a and b: enough links between the (distinct, non-null) fp to connect all that differ in up to `bits` bits (at most 4).
 
     An anchor with more than `bound` fingerprints is cut into blocks that are compared two by two, so no task holds more than
-    `bound` of them, and every pair is compared all the same.
+    `bound` of them, and every pair is compared all the same. blocks: see _anchors(); by default it follows the number of fingerprints.
     """
     if not 0 <= bits <= 4:
         raise ValueError("anchors cover differences of 0 to 4 bits")
-    at = _anchors(distinct)
+    at = _anchors(distinct, hamming_blocks(distinct.count()) if blocks is None else blocks)
     crowded = stored(at.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bound), "crowded")
     if crowded.isEmpty():
         return _compared(at, ["anchor"], bits)

@@ -188,7 +188,10 @@ def _runs(base: DataFrame, length: int, bound: int) -> DataFrame:
     release(every)
     context = t.groupBy("h", "c").agg(F.min(F.struct("doc_id", "row", "start", "n")).alias("first"), F.max("doc_id").alias("hi"))
     context = context.select("h", "c", F.col("first.doc_id").alias("lo"), "hi", F.col("first.row").alias("row"), F.col("first.start").alias("start"), F.col("first.n").alias("n"))
-    context = stored(context.join(context.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")), "h"), "distinct-contexts")
+    context = stored(context, "distinct-contexts")
+    # counted apart, so that the join below has nothing but the join to do for a frequent anchor, whose rows can then be split
+    several = stored(context.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1"), "shared-anchors")
+    context = stored(context.join(several, "h", "left").withColumn("contexts", F.coalesce("contexts", F.lit(1))), "counted-contexts")
 
     def content(which: str) -> DataFrame:
         these = context.filter(which).groupBy("row").agg(F.collect_list(F.struct("h", "c", "lo", "start", "n")).alias("wanted"))

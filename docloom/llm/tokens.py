@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -18,8 +18,8 @@ BYTE_LEVEL = rf" ?[{LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{DIGIT}]+| ?[^{LETTER}{DIG
 PLAIN = "[\x00-\x1b\x20-ˁ‐-‧€]*"
 #: Entries a worker keeps; beyond, the later half goes, so memory is bounded and results are the same.
 CACHE = 800_000
-#: Characters of text in work at a time.
-STEP = 1 << 20
+#: Pre-tokens in use, of those a worker keeps.
+NEAR = 60_000
 #: Longer pre-tokens are encoded where they occur and not kept.
 LONG = 64
 
@@ -60,6 +60,31 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Near(dict):
+    """Pre-tokens and their ids: the few thousand in use, which fit a processor's caches, before the many seen."""
+
+    def __init__(self, piece: Callable[[str], bytes]):
+        super().__init__()
+        self.piece, self.far = piece, {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.far.get(part)
+        if ids is None:
+            ids = self.piece(part)
+            if len(part) > LONG:
+                return ids
+            self.far[part] = ids
+        self[part] = ids
+        return ids
+
+    def forget(self) -> None:
+        """Keep what came first, which is what is frequent."""
+        for kept, most in ((self, NEAR), (self.far, CACHE)):
+            if len(kept) > most:
+                for w in list(kept)[most // 2 :]:
+                    del kept[w]
+
+
 class ByteLevelEncoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes.
 
@@ -72,7 +97,7 @@ class ByteLevelEncoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.model, self.characters = self.tok.model, byte_characters()
         self.cut, self.plain = re.compile(BYTE_LEVEL).findall, re.compile(PLAIN).fullmatch
-        self.known: dict[str, bytes] = {}
+        self.near = _Near(self._piece)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
@@ -82,31 +107,17 @@ class ByteLevelEncoder:
         return array("I", [x.id for x in self.model.tokenize(part.encode().decode("latin1").translate(self.characters))]).tobytes()
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """The ids of each text, in order; about STEP characters are in work at a time."""
-        held: list[str] = []
-        size = 0
+        """The ids of each text, in order."""
+        near = self.near
         for t in texts:
-            held.append(t or "")
-            size += len(held[-1])
-            if size >= STEP:
-                yield from self._some(held)
-                held, size = [], 0
-        yield from self._some(held)
-
-    def _some(self, texts: list[str]) -> Iterator[bytes]:
-        known = self.known
-        parts = [self.cut(t) if self.plain(t) and not any(s in t for s in self.special) else None for t in texts]
-        distinct: set[str] = set()
-        for p in parts:
-            if p is not None:
-                distinct.update(p)
-        new = list(distinct.difference(known))
-        for p in new:
-            known[p] = self._piece(p)
-        here = {p: known[p] for p in distinct}.__getitem__  # small enough for the processor's caches
-        for t, p in zip(texts, parts, strict=True):
-            yield b"".join(map(here, p)) if p is not None else self._whole(t)
-        forget(known, new)
+            if not t:
+                yield b""
+                continue
+            if self.plain(t) and not any(s in t for s in self.special):
+                yield b"".join(map(near.__getitem__, self.cut(t)))
+            else:
+                yield self._whole(t)
+            near.forget()
 
 
 class PieceCounter:

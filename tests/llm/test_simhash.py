@@ -58,13 +58,14 @@ def test_against_brute_force(spark, bound):
     assert len({r[2] for r in got}) < len(rows)
 
 
-def test_links_cover_every_near_pair(spark):
+@pytest.mark.parametrize("blocks", [0, 2, 4])
+def test_links_cover_every_near_pair(spark, blocks):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 200, np.uint64)
     near = [int(x) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for x in base for _ in range(3)]
     every = sorted({*map(int, base), *near})
     signed = [(x - (1 << 64) if x >> 63 else x,) for x in every]
-    links = simhash.fingerprint_links(spark.createDataFrame(signed, "fp long")).collect()
+    links = simhash.fingerprint_links(spark.createDataFrame(signed, "fp long"), blocks=blocks).collect()
     got = closed([(a, b) for a, b in links], [x for (x,) in signed])
     want = closed([(signed[i][0], signed[j][0]) for i in range(len(every)) for j in range(i) if bin(every[i] ^ every[j]).count("1") <= 4], [x for (x,) in signed])
     assert got == want

@@ -29,6 +29,10 @@ def test_encoder_gives_the_library_s_ids(strings, monkeypatch):
     want = [x.ids for x in e.tok.encode_batch(strings, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(strings)] == want
     assert sum(e.plain(s) is not None for s in strings) > 100
+    rng = random.Random(4)
+    words = ["the", "it's", "'re", "end.\nNext", "a\n\nb", "x\n", "\ny", "", "12", "--", "é", "\t", "B\x85", "\xa0c", "!!!'s"]
+    texts = [" ".join(rng.choice(words[:5] + words[8:11] if k % 2 else words) for _ in range(rng.randrange(12))) for k in range(3000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [x.ids for x in e.tok.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_counter_gives_the_library_s_counts(strings, monkeypatch):
