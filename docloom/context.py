@@ -54,7 +54,7 @@ class Context:
 
 @dataclass
 class Options:
-    """id_key: the key that projections keep; collation: a Spark collation for sorting strings; collections: names to DataFrames, or a
+    """id_key: the key that projections keep; strict: whether an empty string is true and the projection $elemMatch stops at its first match; collation: a Spark collation for sorting strings; collections: names to DataFrames, or a
     function; variables: values for $$name; validator: from a JSON schema to a Python predicate on a row as dict; script_enabled: allow host functions."""
 
     id_key: str = "_id"
@@ -63,6 +63,7 @@ class Options:
     variables: dict[str, Any] = field(default_factory=dict)
     validator: Callable | None = None
     script_enabled: bool = True
+    strict: bool = True
     context: Context = field(default_factory=Context)
 
     def need_scripts(self, name: str) -> None:

@@ -165,13 +165,13 @@ def _zip(s: Scope, arg: dict) -> Column:
 @_operator("$allElementsTrue", 1, 1)
 def _all_true(s: Scope, x: Any) -> Column:
     c, e = _array(s, x)
-    return F.forall(c, lambda v: truthy(v, e))
+    return F.forall(c, lambda v: truthy(v, e, s.options.strict))
 
 
 @_operator("$anyElementTrue", 1, 1)
 def _any_true(s: Scope, x: Any) -> Column:
     c, e = _array(s, x)
-    return F.exists(c, lambda v: truthy(v, e))
+    return F.exists(c, lambda v: truthy(v, e, s.options.strict))
 
 
 _operator("$setDifference", 2, 2)(lambda s, a, b: F.array_except(s.compile(a), s.compile(b)))

@@ -185,8 +185,11 @@ def _index_of(s: Scope, text: Any, sub: Any, start: Any = 0, end: Any = None) ->
     return F.call_function("locate", s.compile(sub), t, (a + 1).cast("int")) - 1
 
 
+#: What $trim and its kin take off by default.
+BLANKS = "\0 \t\n\x0b\x0c\r\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+
 for _name, _f in {"$trim": F.btrim, "$ltrim": F.ltrim, "$rtrim": F.rtrim}.items():
-    register("expression", _name, lambda s, arg, f=_f: f(s.compile(arg["input"]), s.compile(arg["chars"]) if "chars" in arg else F.lit("\0 \t\n\v\f\r             ")))
+    register("expression", _name, lambda s, arg, f=_f: f(s.compile(arg["input"]), s.compile(arg["chars"]) if "chars" in arg else F.lit(BLANKS)))
 
 
 @register("expression", "$replaceAll")

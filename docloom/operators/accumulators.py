@@ -229,6 +229,14 @@ def over_array(s: Scope, name: str, arg: Any) -> Column:
         return c
     if name == "$addToSet":
         return F.array_distinct(c)
+    if name in ("$covariancePop", "$covarianceSamp"):
+        if not isinstance(e, T.ArrayType):
+            raise SpecError(f"{name} takes pairs")
+        at = lambda i: F.transform(have, lambda p: F.get(p, F.lit(i)).cast("double"))
+        n = F.size(have)
+        total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+        co = total(F.zip_with(at(0), at(1), lambda a, b: a * b)) - total(at(0)) * total(at(1)) / n
+        return F.when(n > 1, co / n).otherwise(0.0) if name == "$covariancePop" else F.when(n > 1, co / (n - 1))
     if kind(e) != "number":
         return F.lit(None if name == "$stdDevSamp" else 0)
     wide = "bigint" if isinstance(e, T.IntegralType) else "double"
@@ -246,6 +254,4 @@ def over_array(s: Scope, name: str, arg: Any) -> Column:
         return F.when(n > 0, F.sqrt(spread / n)).otherwise(0.0)
     if name == "$stdDevSamp":
         return F.when(n > 1, F.sqrt(spread / (n - 1)))
-    if name in ("$covariancePop", "$covarianceSamp"):
-        raise SpecError(f"{name} aggregates groups only")
     raise SpecError(f"unknown expression operator {name}")

@@ -22,7 +22,8 @@ def _elem_match(s: Scope, at: tuple[Column, T.DataType], arg: Any) -> Column:
     c, t = at
     if not isinstance(t, T.ArrayType):
         return F.lit(None)
-    found = F.slice(F.filter(c, lambda x: element_query(s, x, t.elementType, arg)), F.lit(1), F.lit(1))
+    found = F.filter(c, lambda x: element_query(s, x, t.elementType, arg))
+    found = F.slice(found, F.lit(1), F.lit(1)) if s.options.strict else found
     return F.when(F.size(found) > 0, found)
 
 

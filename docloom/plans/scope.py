@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..context import Options, SpecError
-from .values import NULL, follow, literal, truthy
+from .values import NULL, follow, kind, literal, truthy
 
 #: What $$REMOVE compiles to until a stage takes it out.
 REMOVE = object()
@@ -58,6 +58,8 @@ class Scope:
             found = literal(value), self.type_of_column(literal(value))
         elif self.redact and head in ("KEEP", "PRUNE", "DESCEND"):
             found = F.lit(head), T.StringType()
+        elif head == "REMOVE":
+            found = F.lit(None), NULL
         else:
             raise SpecError(f"no such variable: $${head}")
         return follow(*found, rest.split(".")) if rest else found
@@ -73,7 +75,7 @@ class Scope:
         if isinstance(spec, str) and spec.startswith("$"):
             return self.field(spec[1:])[0]
         if isinstance(spec, (list, tuple)):
-            return F.array(*[self.compile(x) for x in spec])
+            return self.array(list(spec))
         if isinstance(spec, dict):
             names = [k for k in spec if k.startswith("$")]
             if names:
@@ -83,6 +85,13 @@ class Scope:
             return F.struct(*[self.compile(v).alias(k) for k, v in spec.items()])
         return literal(spec)
 
+    def array(self, specs: list) -> Column:
+        """An array of values; those of different brackets become strings, as an array has one type."""
+        parts = [self.compile(x) for x in specs]
+        if len(parts) > 1 and len({kind(self.type_of(x)) for x in specs} - {"null"}) > 1:
+            parts = [c.cast("string") for c in parts]
+        return F.array(*parts)
+
     def call(self, name: str, arg: Any) -> Column:
         context = self.options.context
         if found := context.get("expression", name):
@@ -113,7 +122,7 @@ class Scope:
         return self.compile(spec), self.type_of(spec)
 
     def truth(self, spec: Any) -> Column:
-        return truthy(*self.typed(spec))
+        return truthy(*self.typed(spec), self.options.strict)
 
     def args(self, arg: Any, least: int = 1, most: int | None = None) -> list[Any]:
         """An operator's operands: a list, or one alone."""

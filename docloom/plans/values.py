@@ -59,7 +59,8 @@ def literal(v: Any, t: T.DataType | None = None) -> Column:
         return F.struct(*[literal(v[n], fields.get(n)).alias(n) for n in names])
     if isinstance(v, (list, tuple)):
         e = t.elementType if isinstance(t, T.ArrayType) else None
-        out = F.array(*[literal(x, e) for x in v])
+        mixed = e is None and len({kind_of(x) for x in v} - {"null"}) > 1
+        out = F.array(*[literal(x, e).cast("string") if mixed else literal(x, e) for x in v])
         return out.cast(t) if e is not None and not isinstance(e, T.NullType) else out
     out = F.lit(v)
     if v is None:
@@ -67,12 +68,14 @@ def literal(v: Any, t: T.DataType | None = None) -> Column:
     return out.cast(t) if isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)) and kind_of(v) == "date" else out
 
 
-def truthy(c: Column, t: T.DataType) -> Column:
-    """True unless null, false or zero."""
+def truthy(c: Column, t: T.DataType, strict: bool = True) -> Column:
+    """True unless null, false or zero; an empty string counts as true only if strict."""
     if kind(t) == "bool":
         return F.coalesce(c, F.lit(False))
     if kind(t) == "number":
         return F.coalesce(c != 0, F.lit(False))
+    if kind(t) == "string" and not strict:
+        return F.coalesce(c != "", F.lit(False))
     return F.lit(False) if kind(t) == "null" else c.isNotNull()
 
 

@@ -108,6 +108,11 @@ EXPRESSIONS = [
     ({"$avg": [1, 2]}, 1.5),
     ({"$stdDevSamp": [1, 3]}, 2**0.5),
     ({"$bitAnd": [12, 10]}, 8),
+    ({"$covariancePop": [[[1, 2], [3, 8]]]}, 3.0),
+    ({"$covarianceSamp": [[[1, 2], [3, 8]]]}, 6.0),
+    ({"$cond": [True, "$$REMOVE", "$x"]}, None),
+    (["a", "$x", None], ["a", "1", None]),
+    ({"$and": ["", 1]}, True),
     ({"$bitNot": 0}, -1),
     ({"$getField": {"field": "k", "input": {"k": 5}}}, 5),
     ({"$function": {"body": lambda a: a + 1, "args": ["$x"], "returns": "long"}}, 2),
@@ -402,6 +407,29 @@ def test_accumulators_with_host_code_and_objects(spark):
     assert maps[0]["m"] == {"a": 1, "b": 5}
 
 
+def test_not_strict(spark):
+    docs = [{"_id": 1, "s": "", "l": [1, 2, 3]}]
+    pipeline = [{"$project": {"l": {"$elemMatch": {"$gt": 1}}, "t": {"$or": ["$s"]}}}]
+    assert run(spark, docs, pipeline) == [{"_id": 1, "l": [2], "t": True}]
+    assert run(spark, docs, pipeline, strict=False) == [{"_id": 1, "l": [2, 3], "t": False}]
+
+
+def test_redact_levels(spark):
+    schema = "_id int, tags array<string>, parts array<struct<name:string,tags:array<string>,inner:struct<tags:array<string>,x:int>>>"
+    docs = [{"_id": 1, "tags": ["G"], "parts": [{"name": "a", "tags": ["G", "S"], "inner": {"tags": ["H"], "x": 1}}, {"name": "b", "tags": ["T"], "inner": None}]}, {"_id": 2, "tags": ["T"], "parts": []}]
+    keep = {"$cond": {"if": {"$gt": [{"$size": {"$setIntersection": ["$tags", ["G"]]}}, 0]}, "then": "$$DESCEND", "else": "$$PRUNE"}}
+    assert run(spark, docs, [{"$redact": keep}], schema) == [{"_id": 1, "tags": ["G"], "parts": [{"name": "a", "tags": ["G", "S"], "inner": None}]}]
+
+
+def test_project_computed_and_nested(spark):
+    docs = [{"_id": 1, "isbn": "0001122", "foo": {"bar": {"baz": -1}, "baz": -10}, "baz": -100, "c": [{"t": "a", "b": "x", "d": [{"t": "c", "e": 1}]}]}]
+    schema = "_id int, isbn string, foo struct<bar:struct<baz:int>,baz:int>, baz int, c array<struct<t:string,b:string,d:array<struct<t:string,e:int>>>>"
+    assert run(spark, docs, [{"$project": {"isbn": {"prefix": {"$substr": ["$isbn", 0, 3]}}}}], schema) == [{"_id": 1, "isbn": {"prefix": "000"}}]
+    assert run(spark, docs, [{"$project": {"_id": 0, "foo": {"bar": {"baz": {"$abs": "$foo.bar.baz"}}}}}], schema) == [{"foo": {"bar": {"baz": 1}}}]
+    assert run(spark, docs, [{"$project": {"c.t": 0, "c.d.e": 0, "foo": 0, "baz": 0, "isbn": 0}}], schema) == [{"_id": 1, "c": [{"b": "x", "d": [{"t": "c"}]}]}]
+    assert run(spark, docs, [{"$project": {"_id": 0, "bestOf": {"$slice": ["$c.t", 1, 1]}}}], schema) == [{"bestOf": []}]
+
+
 def test_variables_and_now(spark):
     got = run(spark, [{"x": 2}], [{"$project": {"_id": 0, "v": {"$multiply": ["$x", "$$rate"]}, "r": "$$ROOT.x", "t": {"$type": "$$NOW"}}}], variables={"rate": 10})
     assert got == [{"v": 20, "r": 2, "t": "date"}]
