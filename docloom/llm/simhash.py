@@ -203,8 +203,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Of rows that share this id, and of repeated rows, one stays, chosen by a hash of the text.
     """
     fps = stored(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    found = _with_components(fps, bits, bound)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    found = stored(_with_components(fps, bits, bound), "components")
+    first = stored(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")), "first")  # apart from the join, which can then split a large component
     others = found.join(first, "root").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))))
     others = others.select(F.col("doc_id").alias("__id"), F.col("row").alias("__of")).distinct()
     marked = docs.withColumn("__row", F.xxhash64(F.col(text_col)))

@@ -183,14 +183,14 @@ def _windows(content: DataFrame, length: int) -> DataFrame:
 def _runs(base: DataFrame, length: int, bound: int) -> DataFrame:
     """row, start and n of the runs of windows that a document with a smaller id holds too."""
     every = stored(_contexts(base.filter(F.col("doc_id").isNotNull()), length), "contexts")
-    shared = every.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h")
+    # stored, here and below: a join that has nothing but the join to do can split the rows of a frequent anchor among tasks
+    shared = stored(every.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h"), "shared-anchors")
     t = stored(every.join(shared, "h"), "shared-contexts")
     release(every)
     context = t.groupBy("h", "c").agg(F.min(F.struct("doc_id", "row", "start", "n")).alias("first"), F.max("doc_id").alias("hi"))
     context = context.select("h", "c", F.col("first.doc_id").alias("lo"), "hi", F.col("first.row").alias("row"), F.col("first.start").alias("start"), F.col("first.n").alias("n"))
     context = stored(context, "distinct-contexts")
-    # counted apart, so that the join below has nothing but the join to do for a frequent anchor, whose rows can then be split
-    several = stored(context.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1"), "shared-anchors")
+    several = stored(context.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1"), "several-contexts")
     context = stored(context.join(several, "h", "left").withColumn("contexts", F.coalesce("contexts", F.lit(1))), "counted-contexts")
 
     def content(which: str) -> DataFrame:
