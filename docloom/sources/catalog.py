@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from pathlib import PurePosixPath
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..context import SpecError
+from ..runtime import ship
 
 #: Formats that a path's suffix names.
 FORMATS = {"parquet", "orc", "json", "csv"}
@@ -54,3 +60,29 @@ def documents(spark: SparkSession, docs: list[dict], schema=None) -> DataFrame:
         return spark.createDataFrame(docs, schema)
     names = list(dict.fromkeys(k for d in docs for k in d))
     return spark.createDataFrame([{n: d.get(n) for n in names} for d in docs]).select(*[f"`{n}`" for n in names])
+
+
+def generated(spark: SparkSession, function: Callable[[int], Iterable[dict]], schema, partitions: int = 1) -> DataFrame:
+    """The documents that function(0), function(1), ... yield, each call on an executor in a partition of its own; missing fields are null."""
+    to = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    names = to.fieldNames()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = to_arrow_schema(to)
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                held: list[dict] = []
+                for d in function(i):
+                    held.append({n: d.get(n) for n in names})
+                    if len(held) == 1000:
+                        yield pa.RecordBatch.from_pylist(held, types)
+                        held = []
+                yield pa.RecordBatch.from_pylist(held, types)
+
+    ship(spark)
+    return spark.range(0, partitions, 1, partitions).mapInArrow(run, to)
+
+
+def concatenated(*parts: DataFrame) -> DataFrame:
+    """All documents of all parts; fields that a part lacks are null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

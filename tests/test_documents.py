@@ -386,6 +386,21 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/o").count() == 4
 
 
+def test_sources(spark, tmp_path):
+    from docloom.api import Catalog, read
+    from docloom.sources.catalog import concatenated, generated
+
+    made = generated(spark, lambda i: ({"_id": i * 10 + j, "tags": ["a"] * j} for j in range(3)), "_id long, tags array<string>, more int", 2)
+    assert run(spark, made, [{"$match": {"tags": "a"}}, {"$count": "n"}]) == [{"n": 4}]
+    both = concatenated(made, documents(spark, [{"_id": 99, "x": 1}], "_id long, x int"))
+    assert both.count() == 7 and both.columns == ["_id", "tags", "more", "x"]
+    for form in ("json", "orc", "csv"):
+        made.select("_id").write.format(form).option("header", True).save(f"{tmp_path}/t.{form}")
+        assert read(spark, f"{tmp_path}/t.{form}", "_id long", header=True).count() == 6
+        assert Catalog(spark, str(tmp_path), format=form)("t").count() >= 6
+    assert Catalog(spark, entries={"m": lambda: made})("m").count() == 6
+
+
 def test_registration(spark):
     with pytest.raises(SpecError):
         register("expression", "bad name", lambda s, a: None)
