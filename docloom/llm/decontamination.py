@@ -120,7 +120,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
 
 def _union(parts: list[DataFrame], schema: str, like: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts) if parts else like.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, parts) if parts else like.limit(0).selectExpr(*[f"CAST(NULL AS {t}) AS {n}" for n, t in (x.split() for x in schema.split(", "))])
 
 
 def _candidates(found: DataFrame, windows: DataFrame, share: float) -> DataFrame:

@@ -187,7 +187,7 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _tilted(p, tokenizer) if langs else None
-        for b in rows(batches, 2048):
+        for b in rows(batches, 2048, text=1):
             index: dict[str, int] = {}
             ids: list[int] = []
             ends = [0]

@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_text, end = encoder(tokenizer).encode, np.asarray([end_id], "<u4").tobytes()
-        for b in rows(batches):
+        for b in rows(batches, text=1):
             out: list[list] = [[], [], [], [], []]
             for d, ids in zip(b.column(0).to_pylist(), encode_text(t.as_py() for t in b.column(1)), strict=True):
                 ids = memoryview(ids + end)

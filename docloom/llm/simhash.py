@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows(batches):
+        for b in rows(batches, text=2):
             fp = np.array([_fingerprint(t.as_py() or b"", size) for t in b.column(2)], np.uint64)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "row", "fp"])
 

@@ -111,7 +111,7 @@ def _contexts(base: DataFrame, length: int) -> DataFrame:
     """CONTEXT rows; base: row, doc_id and text."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows(batches):
+        for b in rows(batches, text=2):
             out: list[list] = [[], [], [], [], [], []]
             for r, d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 words = word_hashes(t.as_py() or b"")
@@ -218,7 +218,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     runs = _runs(base, length, bound).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows(batches):
+        for b in rows(batches, text=1):
             total, removed, kept = [], [], []
             for i, t in enumerate(b.column(1)):
                 data = t.as_py() or b""

@@ -24,7 +24,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = counter(tokenizer)
-        for b in rows(batches):
+        for b in rows(batches, text=1):
             texts = [t.as_py() or b"" for t in b.column(1)]
             n = pieces.count([Counter(t.split()) for t in texts])
             yield pa.record_batch([b.column(0), pa.array(map(len, texts), pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])

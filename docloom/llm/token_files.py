@@ -46,7 +46,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         from pyspark import TaskContext
 
         part, at, encode_text, end = TaskContext.get().partitionId(), 0, encoder(tokenizer).encode, np.asarray([end_id], "<u4").tobytes()
-        for b in rows(batches):
+        for b in rows(batches, text=1):
             data = [ids + end for ids in encode_text(t.as_py() for t in b.column(1))]
             n = np.asarray([len(x) // 4 for x in data], np.int64)
             starts = at + np.cumsum(n) - n

@@ -8,7 +8,9 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Letters, digits and white space among the characters PLAIN allows, for the cut of the byte-level format below.
 LETTER, DIGIT, BLANK = "A-Za-zªµºÀ-ÖØ-öø-ˁ", "0-9²³¹¼-¾", " \t-\r\x85\xa0"
@@ -18,6 +20,8 @@ BYTE_LEVEL = rf" ?[{LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{DIGIT}]+| ?[^{LETTER}{DIG
 PLAIN = "[\x00-\x1b\x20-ˁ‐-‧€]*"
 #: Entries a worker keeps; beyond, the later half goes, so memory is bounded and results are the same.
 CACHE = 800_000
+#: Bytes of text in work at a time.
+STEP = 8 << 20
 #: Pre-tokens in use, of those a worker keeps.
 NEAR = 60_000
 #: Longer pre-tokens are encoded where they occur and not kept.
@@ -153,8 +157,14 @@ def counter(path: str) -> PieceCounter:
     return PieceCounter(path)
 
 
-def rows(batches: Iterable[pa.RecordBatch], step: int = 256) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that few whole texts are unpacked at a time."""
+def rows(batches: Iterable[pa.RecordBatch], step: int = 256, text: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, of up to step rows and, if the column of texts is named, about STEP bytes: few whole texts are unpacked at a time."""
     for b in batches:
-        for at in range(0, b.num_rows, step):
-            yield b.slice(at, step)
+        ends = None if text is None else np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            n = step
+            if ends is not None:
+                n = min(step, max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP)) - at))
+            yield b.slice(at, n)
+            at += n
