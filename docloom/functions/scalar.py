@@ -30,9 +30,9 @@ for _name, _f in {
     _unary(_name, _f)
 
 
-def _operator(name: str, least: int = 1, most: int | None = None, kind_: str = "expression"):
+def _operator(name: str, least: int = 1, most: int | None = None):
     """Register f(scope, *operands)."""
-    return lambda f: register(kind_, name, lambda s, arg: f(s, *s.args(arg, least, most))) or f
+    return lambda f: register("expression", name, lambda s, arg: f(s, *s.args(arg, least, most))) or f
 
 
 @_operator("$atan2", 2, 2)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -41,13 +40,12 @@ def _tree(spec: dict) -> dict:
     """Dotted names as nested ones."""
     out: dict = {}
     for k, v in spec.items():
-        head, _, rest = k.partition(".")
-        if rest:
-            if not isinstance(out.setdefault(head, {}), dict):
+        at, (*path, last) = out, k.split(".")
+        for name in path:
+            at = at.setdefault(name, {})
+            if not isinstance(at, dict):
                 raise SpecError(f"paths collide at {k}")
-            out[head].update(_tree({rest: v}) if not isinstance(out[head].get(rest.split(".")[0]), dict) else {rest.split(".")[0]: out[head][rest.split(".")[0]] | _tree({rest: v})[rest.split(".")[0]]})
-        else:
-            out[k] = v
+        at[last] = dict(v) if isinstance(v, dict) else v
     return out
 
 
@@ -150,7 +148,3 @@ def project(df: DataFrame, spec: dict, s: Scope) -> DataFrame:
         if value is not None:
             out.append(value.alias(n))
     return df.select(*out)
-
-
-def scoped(s: Scope, df: DataFrame) -> Scope:
-    return replace(s, df=df)

@@ -401,6 +401,12 @@ def test_sources(spark, tmp_path):
     assert Catalog(spark, entries={"m": lambda: made})("m").count() == 6
 
 
+def test_session(spark):
+    from docloom.session import get_or_create
+
+    assert get_or_create().sparkContext is spark.sparkContext
+
+
 def test_registration(spark):
     with pytest.raises(SpecError):
         register("expression", "bad name", lambda s, a: None)
