@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -28,6 +28,37 @@ SCHEMA = T.StructType(
 OPTIONS = {"orc.compress": "NONE", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true"}
 
 
+#: Ranges up to which their bounds become one expression.
+RANGES = 2048
+
+
+def _range(id_col: Column, bounds: list[int]) -> Column:
+    """The number of bounds below the id (null: none), by halving."""
+    if not bounds:
+        return F.lit(0)
+
+    def within(a: int, z: int) -> Column:
+        if a == z:
+            return F.lit(a)
+        m = (a + z) // 2
+        return F.when(id_col > bounds[m], within(m + 1, z)).otherwise(within(a, m))
+
+    return F.when(id_col.isNull(), F.lit(0)).otherwise(within(0, len(bounds)))
+
+
+def _in_ranges(source: DataFrame) -> DataFrame:
+    """source dealt by ranges of doc_id, as many as the session has shuffle partitions; equal ids are together.
+
+    The bounds are approximate quantiles, for which the ids alone are read: repartitionByRange() would read all texts once more for
+    its sample. It does the dealing where there are more ranges than one expression should hold.
+    """
+    n = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n > RANGES:
+        return source.repartitionByRange(n, "doc_id")
+    found = source.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
+    return source.repartitionById(n, _range(F.col("doc_id"), sorted(set(found or []))))
+
+
 def _arrays(data: list[bytes]) -> pa.Array:
     ends = np.cumsum([0, *(len(x) // 4 for x in data)], dtype="<i4")
     return pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(data))]))
@@ -54,7 +85,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
             yield pa.record_batch([b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), _arrays(data)], names=SCHEMA.names)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    mapped(source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"), encode, SCHEMA).write.options(**OPTIONS).orc(path)
+    mapped(_in_ranges(source).sortWithinPartitions("doc_id", "text"), encode, SCHEMA).write.options(**OPTIONS).orc(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
