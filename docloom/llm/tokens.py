@@ -19,11 +19,9 @@ BYTE_LEVEL = rf" ?[{LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{DIGIT}]+| ?[^{LETTER}{DIG
 #: Texts of Latin letters, digits and common signs, for which the cut is known to the character; others go through the library whole.
 PLAIN = "[\x00-\x1b\x20-ˁ‐-‧€]*"
 #: Entries a worker keeps; beyond, the later half goes, so memory is bounded and results are the same.
-CACHE = 800_000
+CACHE = 1_000_000
 #: Bytes of text in work at a time.
 STEP = 8 << 20
-#: Pre-tokens in use, of those a worker keeps.
-NEAR = 60_000
 #: Longer pre-tokens are encoded where they occur and not kept.
 LONG = 64
 
@@ -64,30 +62,19 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class _Near(dict):
-    """Pre-tokens and their ids: the few thousand in use, which fit a processor's caches, before the many seen."""
+class _Known(dict):
+    """Pre-tokens and their ids; what is new is encoded when it is looked up."""
 
     def __init__(self, piece: Callable[[str], bytes]):
         super().__init__()
-        self.piece, self.far = piece, {}
+        self.piece = piece
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.far.get(part)
-        if ids is None:
-            ids = self.piece(part)
-            if len(part) > LONG:
-                return ids
-            self.far[part] = ids
-        self[part] = ids
+        ids = self.piece(part)
+        if len(part) <= LONG:
+            self[part] = ids
         return ids
 
-    def forget(self) -> None:
-        """Keep what came first, which is what is frequent."""
-        for kept, most in ((self, NEAR), (self.far, CACHE)):
-            if len(kept) > most:
-                for w in list(kept)[most // 2 :]:
-                    del kept[w]
-
 
 class ByteLevelEncoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes.
@@ -101,7 +88,7 @@ class ByteLevelEncoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.model, self.characters = self.tok.model, byte_characters()
         self.cut, self.plain = re.compile(BYTE_LEVEL).findall, re.compile(PLAIN).fullmatch
-        self.near = _Near(self._piece)
+        self.known = _Known(self._piece)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
@@ -112,16 +99,16 @@ class ByteLevelEncoder:
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, in order."""
-        near = self.near
+        known = self.known
         for t in texts:
             if not t:
                 yield b""
                 continue
             if self.plain(t) and not any(s in t for s in self.special):
-                yield b"".join(map(near.__getitem__, self.cut(t)))
+                yield b"".join(map(known.__getitem__, self.cut(t)))
             else:
                 yield self._whole(t)
-            near.forget()
+            forget(known, [])
 
 
 class PieceCounter:
