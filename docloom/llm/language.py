@@ -17,6 +17,8 @@ from .tokens import rows, vocabulary
 
 #: Bytes of the longest pieces used.
 WIDEST = 8
+#: Words scored at a time.
+BATCH = 4096
 #: Words up to so many bytes are scored together, longer ones by themselves.
 TOGETHER = 32
 #: Each piece's probability is multiplied by this to the power of its bytes, and a word's log probability is corrected for it: so long words stay within a double's range.
@@ -53,7 +55,7 @@ def lattice(words: list[bytes], path: str) -> np.ndarray:
     keys, numbers, n = pieces(path)
     wide = max(map(len, words))
     text = np.frombuffer(b"".join(w.ljust(wide, b"\0") for w in words), np.uint8).reshape(len(words), wide).astype(np.uint64)
-    out = np.full((len(words), wide + 1, WIDEST), n, np.int64)
+    out = np.full((len(words), wide + 1, WIDEST), n, np.int32)
     key = np.zeros((len(words), wide), np.uint64)
     for size in range(1, min(WIDEST, wide) + 1):
         key = key[:, : wide - size + 1] | text[:, size - 1 :] << np.uint64(8 * (size - 1))
@@ -100,8 +102,8 @@ def word_scores(words: list[bytes], p: np.ndarray, path: str) -> np.ndarray:
     edges = [0, 6, 8, 10, 12, 16, 20, 24, TOGETHER]
     for low, high in zip(edges, edges[1:], strict=False):
         chosen = np.flatnonzero((size > low) & (size <= high))
-        for at in range(0, len(chosen), 20_000):
-            some = chosen[at : at + 20_000]
+        for at in range(0, len(chosen), BATCH):
+            some = chosen[at : at + BATCH]
             alpha = forward(lattice([words[i] for i in some], path), p)
             out[some] = np.log(np.maximum(alpha[np.arange(len(some)), size[some]], 1e-300)) - size[some, None] * np.log(TILT)
     for i in np.flatnonzero(size > TOGETHER):
@@ -128,8 +130,8 @@ def fit(counts: dict[str, dict[bytes, int]], path: str, rounds: int = 3, smoothi
         for _ in range(rounds if words else 0):
             expected = np.zeros(n + 1)
             tilted = _tilted(p, path)
-            for at in range(0, len(words), 20_000):
-                some = words[at : at + 20_000]
+            for at in range(0, len(words), BATCH):
+                some = words[at : at + BATCH]
                 found, size = lattice(some, path), np.array([len(w) for w in some])
                 alpha = forward(found, tilted)[..., 0]
                 beta = np.zeros_like(alpha)
