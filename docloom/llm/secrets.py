@@ -11,8 +11,8 @@ ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "random")
 
-#: What may be a random key: a run of characters that encodings use.
-CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+#: What may be a random key: a run of characters that encodings use. '=' is padding at its end only, so that the value of name=value is a run of its own.
+CANDIDATE = "[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Encodings, the narrowest that holds all of a candidate's characters is taken: name, alphabet in code order.
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ENCODINGS = (("hex", DIGITS + "abcdef"), ("HEX", DIGITS + "ABCDEF"), ("base32", UPPER + "234567"), ("lower", LOWER), ("upper36", DIGITS + UPPER), ("lower36", DIGITS + LOWER), ("letters", UPPER + LOWER), ("alnum", UPPER + LOWER + DIGITS), ("base64", UPPER + LOWER + DIGITS + "+/_-"))
