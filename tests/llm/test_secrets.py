@@ -31,3 +31,13 @@ def test_values_of_assignments(spark, form):
         found += any(int(a) == at for _, a, _ in (x.split(":") for x in r.spans.split(",") if x))
     assert found >= 54
     assert sum(keys[d] not in t for d, t in mask_secrets(docs).collect()) >= 54
+
+
+@pytest.mark.parametrize("length", [24, 32, 40, 64, 128])
+def test_upper_case_hex_keys(spark, length):
+    rows, keys = planted(random.Random(length), "0123456789ABCDEF", length, "VALUE")
+    found = 0
+    for r in secret_report(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        at = rows[r.doc_id][1].index(keys[r.doc_id])
+        found += f"random:{at}:{at + length}" in r.spans.split(",")
+    assert found >= 48
