@@ -22,16 +22,18 @@ UNITS = (
 SMALL = 1_000_000
 
 
-def _canonical(text: Column) -> Column:
+def _canonical(text: Column, starts: bool) -> Column:
     """The text with typed slots, in lower case and without signs; every white-space character stays where it is.
 
-    A number is what starts with a digit, to the word's end; a name is a word with a capital that follows a small letter, comma or
-    semicolon and a blank; a unit is one of UNITS after a number. Each pattern starts with one character and never steps back, so
-    that long words cost no more than others.
+    A number is a word with a digit; a name is a word with a capital that follows a small letter, digit, comma or semicolon and a
+    blank, with starts any word with a capital, so that names at the start of a sentence are slots as well (and so are other words
+    there, in items and documents alike); a unit is one of UNITS after a number. No pattern steps back, so that long words cost no
+    more than others.
     """
     t = F.coalesce(text, F.lit(""))
-    t = F.regexp_replace(t, r"\p{Lu}(?<=[\p{Ll}\d,;] \p{Lu})[\p{L}'’-]*+(?![^ \t-\r\p{P}])", NAME)
-    t = F.regexp_replace(t, r"\d[^ \t-\r]*+", NUMBER)
+    before = r"(?<![^ \t-\r\p{P}]\p{Lu})" if starts else r"(?<=[\p{Ll}\d,;] \p{Lu})"
+    t = F.regexp_replace(t, rf"\p{{Lu}}{before}[\p{{L}}'’-]*+(?![^ \t-\r\p{{P}}])", NAME)
+    t = F.regexp_replace(t, r"(?<![^ \t-\r])[^ \t-\r\d]*+\d[^ \t-\r]*+", NUMBER)
     t = F.when(F.contains(t, F.lit(NUMBER + " ")), F.regexp_replace(t, rf"(?i)(?<={NUMBER} )(?:{'|'.join(UNITS)})(?![^ \t-\r\p{{P}}])", UNIT)).otherwise(t)
     return F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}{NUMBER}-{UNIT} \t-\r]", "")
 
@@ -40,15 +42,15 @@ def _is_slot(word: Column) -> Column:
     return word.rlike(f"[{NUMBER}-{UNIT}]")
 
 
-def _template(text: Column) -> Column:
+def _template(text: Column, starts: bool) -> Column:
     """The template's words."""
-    return F.filter(F.split(_canonical(text), SPACE + "+"), lambda w: w != "")
+    return F.filter(F.split(_canonical(text, starts), SPACE + "+"), lambda w: w != "")
 
 
-def _pairs(text: Column) -> Column:
+def _pairs(text: Column, starts: bool) -> Column:
     """array of (word, filler): the template's words; beside a slot what fills it, in lower case and without signs at its ends."""
     filler = lambda a, b: F.when(_is_slot(a), F.regexp_replace(F.lower(b), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    return F.filter(F.zip_with(F.split(_canonical(text), SPACE), F.split(F.coalesce(text, F.lit("")), SPACE), lambda a, b: F.struct(a.alias("word"), filler(a, b).alias("filler"))), lambda p: p["word"] != "")
+    return F.filter(F.zip_with(F.split(_canonical(text, starts), SPACE), F.split(F.coalesce(text, F.lit("")), SPACE), lambda a, b: F.struct(a.alias("word"), filler(a, b).alias("filler"))), lambda p: p["word"] != "")
 
 
 def _windows(df: DataFrame, keep: list[str], words: str, size: int) -> DataFrame:
@@ -69,10 +71,10 @@ def _fits(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def _items(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame]:
+def _items(benchmark: DataFrame, id_col: str, text_col: str, size: int, starts: bool) -> tuple[DataFrame, DataFrame]:
     """Windows (item_id, items, size, ipos, w, windows) and slots (item_id, pos, kind, filler) of the benchmark; an item of fewer words is one window."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("item"), F.col(text_col).alias("text")).dropDuplicates(["item"])
-    items = items.select("item_id", "item", _pairs(F.col("text")).alias("pairs")).filter(F.size("pairs") > 0)
+    items = items.select("item_id", "item", _pairs(F.col("text"), starts).alias("pairs")).filter(F.size("pairs") > 0)
     items = stored(items.select("item_id", "item", "pairs", F.transform("pairs", lambda p: p["word"]).alias("words"), F.least(F.size("pairs"), F.lit(size)).alias("size")), "items")
     by_size = [_windows(items.filter(F.col("size") == s).withColumn("windows", F.size("words") - F.col("size") + 1), ["item_id", "item", "size", "windows"], "words", s) for s in range(1, size + 1)]
     windows = stored(reduce(DataFrame.unionByName, by_size).withColumnRenamed("pos", "ipos"), "item-windows")
@@ -89,17 +91,24 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     Null and empty texts contain and match nothing. Rows are told apart by row, a hash of id and text; repeated rows count once;
     items with equal ids and other texts are items of their own with one row each; a null id stays null. Empty tables give an empty
-    result; other columns are ignored.
+    result; other columns are ignored. Names at the start of a sentence are literal words at first; an item that isn't found so is
+    found, with the figures of that reading, if it is contained when every word with a capital is a slot.
     """
-    windows, item_slots = _items(benchmark, item_col, item_text_col, size)
+    plain, wide = (stored(_matches(docs, benchmark, id_col, text_col, item_col, item_text_col, size, share, agreement, starts), "matches") for starts in (False, True))
+    return plain.unionByName(wide.join(plain.select("row", "item"), ["row", "item"], "left_anti")).drop("item")
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, size: int, share: float, agreement: float, starts: bool) -> DataFrame:
+    """benchmark_matches() under one reading of names, with item, a hash of an item's id and text."""
+    windows, item_slots = _items(benchmark, item_col, item_text_col, size, starts)
     sizes = [r[0] for r in windows.select("size").distinct().collect()]  # at most `size` values
     base = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    templates = _held(base, "words", _template(F.col("text"))).select("row", "words")
+    templates = _held(base, "words", _template(F.col("text"), starts)).select("row", "words")
     found = _union([_windows(templates, ["row"], "words", s).select("row", "w") for s in sizes], "row long, w long", docs)
     found = found.join(_fits(windows.select("item", "windows", "w").distinct()), "w").distinct()
     pairs = stored(_candidates(found, windows, share), "window-pairs")
 
-    held = _held(base.join(_fits(pairs.select("row").distinct()), "row").dropDuplicates(["row"]), "pairs", _pairs(F.col("text")))
+    held = _held(base.join(_fits(pairs.select("row").distinct()), "row").dropDuplicates(["row"]), "pairs", _pairs(F.col("text"), starts))
     held = stored(held.select("row", "doc_id", F.transform("pairs", lambda p: p["word"]).alias("words"), F.filter(F.transform("pairs", lambda p, i: F.struct(i.alias("dpos"), p["word"].alias("kind"), p["filler"].alias("now"))), lambda p: p["now"].isNotNull()).alias("slots")), "candidates")
     at = _union([_windows(held, ["row"], "words", s).select("row", F.col("pos").alias("dpos"), "w") for s in sizes], "row long, dpos int, w long", docs)
     match = at.join(pairs, "row").join(windows.select("item", "w", "ipos", "size"), ["item", "w"])
@@ -116,7 +125,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     names = windows.select("item", "item_id", "windows").distinct()
     out = total.join(names, "item").filter(F.col("n_matched") >= share * F.col("windows"))
     ids = held.select("row", "doc_id")
-    return out.join(ids, "row").select("row", "doc_id", "item_id", F.col("windows").cast("long").alias("n_windows"), F.col("n_matched").cast("long").alias("n_matched"), F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"))
+    return out.join(ids, "row").select("row", "item", "doc_id", "item_id", F.col("windows").cast("long").alias("n_windows"), F.col("n_matched").cast("long").alias("n_matched"), F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"))
 
 
 def _union(parts: list[DataFrame], schema: str, like: DataFrame) -> DataFrame:
