@@ -1,26 +1,17 @@
-"""Words of whole texts as numpy arrays: offsets, 64-bit hashes, and minimizers over windows."""
+"""Words of whole texts as numpy arrays: 64-bit hashes of words, of runs of words, and minimizers over windows."""
 
 from __future__ import annotations
 
-import numpy as np
-
-_TABLE = np.random.Generator(np.random.PCG64(42)).integers(0, 2**64, 256, np.uint64, endpoint=False)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[int, np.ndarray] = {}
+import re
+from collections.abc import Iterator
 
+import numpy as np
+from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1), kept up to the longest text so far."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        with np.errstate(over="ignore"):
-            have = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(max(n, 1 << 16), base, np.uint64))])
-        if n <= 1 << 22:
-            _powers[int(base)] = have
-    return have[:n]
+_BLANK = re.compile(rb"[ \t-\r]")
+#: Bytes of a text that are split into words at a time.
+_STEP = 1 << 20
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,37 +22,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end bytes of the runs of anything but ASCII white space."""
-    blank = np.concatenate([[True], _BLANK[np.frombuffer(data, np.uint8)], [True]])
-    edges = np.flatnonzero(blank[1:] != blank[:-1])
-    return edges[::2], edges[1::2]
+def _parts(data: bytes) -> Iterator[bytes]:
+    """data cut at white space into parts of about _STEP bytes."""
+    at = 0
+    while len(data) - at > _STEP:
+        cut = _BLANK.search(data, at + _STEP)
+        if cut is None:
+            break
+        yield data[at : cut.start()]
+        at = cut.end()
+    yield data[at:] if at else data
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; equal words have equal hashes in every process."""
-    a, z = word_spans(data)
-    if not len(a):
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_TABLE[np.frombuffer(data, np.uint8)] * _power(_BASE, len(data)), dtype=np.uint64)])
-        return mix((sums[z] - sums[a]) * _power(_INVERSE, len(data) + 1)[a] + (z - a).astype(np.uint64))
+    """XXH64 of each word's bytes; words are the runs of anything but ASCII white space."""
+    out = []
+    for part in _parts(data):
+        words = part.split()
+        out.append(np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)))
+    return out[0] if len(out) == 1 else np.concatenate(out)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each run of k words."""
+    """A hash of each run of k words, joined out of the hashes of shorter runs; every step is mixed, so no arrangement of words cancels out."""
     if len(words) < k:
         return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(words * _power(_BASE, len(words)), dtype=np.uint64)])
-        return mix((sums[k:] - sums[:-k]) * _power(_INVERSE, len(words))[: len(words) - k + 1])
+
+    def joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix(mix(a + np.uint64(n)) * _FACTOR + b)
+
+    out, size, power, width = None, 0, mix(words), 1
+    while True:
+        if k & width:
+            n = len(words) - size - width + 1
+            out = power[:n].copy() if out is None else joined(out[:n], power[size : size + n], width)
+            size += width
+        if size == k:
+            return out
+        power = joined(power[:-width], power[width:], 2 * width)
+        width *= 2
 
 
 def run_hashes(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each run of words from begin to end, which is exclusive."""
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(words * _power(_BASE, len(words)), dtype=np.uint64)])
-        return mix((sums[end] - sums[begin]) * _power(_INVERSE, len(words) + 1)[begin] + (end - begin).astype(np.uint64))
+    """XXH3 of each run of words from begin to end, which is exclusive; independent of gram_hashes()."""
+    data = memoryview(np.ascontiguousarray(words)).cast("B")
+    return np.fromiter((xxh3_64_intdigest(data[a:z]) for a, z in zip((8 * begin).tolist(), (8 * end).tolist(), strict=True)), np.uint64, len(begin))
 
 
 def minimizers(grams: np.ndarray, w: int) -> np.ndarray:
@@ -69,23 +75,14 @@ def minimizers(grams: np.ndarray, w: int) -> np.ndarray:
     n = len(grams) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64)
+    order = np.argsort(grams, kind="stable")
+    rank = np.empty(len(grams), np.int64)
+    rank[order] = np.arange(len(grams))  # by value, equal ones by place
     # prefix and suffix minima over blocks of w: each window is the end of one block and the start of the next
     blocks = -(-len(grams) // w)
-    pad = np.full(blocks * w, np.iinfo(np.uint64).max, np.uint64)
-    pad[: len(grams)] = grams
+    pad = np.full(blocks * w, len(grams), np.int64)
+    pad[: len(grams)] = rank
     pad = pad.reshape(blocks, w)
     ahead = np.minimum.accumulate(pad, axis=1).ravel()
     back = np.minimum.accumulate(pad[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
-    # the first place at or after the window's start that holds its minimum: places of a value, in order
-    order = np.lexsort((np.arange(len(grams)), grams))
-    by_value = grams[order]
-    first = np.searchsorted(by_value, least, "left")
-    place = order[first]
-    late = place < np.arange(n)
-    while late.any():  # repeated grams: step to the next place of that value
-        at = np.flatnonzero(late)
-        first[at] += 1
-        place[at] = order[first[at]]
-        late[at] = place[at] < at
-    return place
+    return order[np.minimum(back[:n], ahead[w - 1 : w - 1 + n])]

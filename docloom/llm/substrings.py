@@ -3,6 +3,8 @@
 A window is `length` consecutive words. Every window has an anchor, its smallest run of length / 5 words by hash, so equal windows
 have equal anchors and meet in the shard of that anchor. Consecutive windows of one document with one anchor are a context. Equal
 contexts are joined into one before any words are shuffled; the words of the rest, once each, go to the shard of their anchor. A
+word is its XXH64, a context two independent hashes of its words (its anchor's and XXH3), so what is taken for equal is equal but
+for a chance of 2^-64 a pair of words and 2^-128 a pair of contexts. A
 shard walks its contexts in the order of their first document: each streams along the automaton of what came before, which gives
 the longest match that ends at each word; matches of `length` words or more are what an earlier document holds; then the context is
 added.

@@ -67,3 +67,34 @@ def test_automaton_matches():
         q = "".join(rng.choice("ab") for _ in range(40))
         want = [max((n for n in range(i + 2) if any(q[i + 1 - n : i + 1] in k for k in known)), default=0) for i in range(len(q))]
         assert a.matches(list(q)) == want
+
+
+def thue_morse(bits):
+    out = "a"
+    for _ in range(bits):
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out
+
+
+def test_words_that_collide_under_polynomial_hashes(spark):
+    """Two words of 1,024 letters whose difference every polynomial hash modulo 2^64 maps to zero are different words."""
+    one = thue_morse(10)
+    other = one.translate(str.maketrans("ab", "ba"))
+    words = [f"w{i}" for i in range(30)]
+    rows = [(1, " ".join([*words, one, *words])), (2, " ".join([*words, other, *words]))]
+    got = substring_report(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in got.collect()} == {1: (61, 0), 2: (61, 0)}
+
+
+def test_windows_of_two_words_in_every_order(spark):
+    """The same for windows: sequences of two words in the order of the Thue-Morse pattern and its inverse."""
+    one = " ".join(thue_morse(6))
+    rows = [(1, one), (2, one.translate(str.maketrans("ab", "ba"))), (3, one + " c")]
+    got = substring_report(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(got) == brute(rows)
+
+
+def test_a_long_text_of_one_word(spark):
+    rows = [(1, "same " * 200_000), (2, "same " * 60 + "end")]
+    got = substring_report(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in got.collect()} == {1: (200_000, 0), 2: (61, 60)}
