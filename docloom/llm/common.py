@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -28,11 +29,52 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
+
+
+#: Items of an array that scan() folds at a time.
+_BLOCK = 64
+
+
+def scan(items: Column, zero: Column, step: Callable[[Column, Column], tuple[Column, Column]], combine: Callable[[Column, Column], Column], element: str) -> Column:
+    """What step puts out for each item of an array, in order; step: from the state before and the item to the state after and the output.
+
+    aggregate() copies its state at every item, so a fold that gathers n outputs costs n squared. Here blocks of items are folded by
+    themselves: first each block's state from zero, then the state before each block, out of these by combine (the state after a
+    block that starts from s is combine(s, its state from zero)), then the outputs. element: the type of an output, as DDL.
+    """
+    none = lambda t: F.expr(f"cast(array() as array<{t}>)")
+
+    def fold(block: Column, start: Column) -> Column:
+        def one(acc: Column, item: Column) -> Column:
+            now, out = step(acc["state"], item)
+            return F.struct(now.alias("state"), F.array_append(acc["out"], out).alias("out"))
+
+        return F.aggregate(block, F.struct(start.alias("state"), none(element).alias("out")), one, lambda acc: acc["out"])
+
+    def before(ends: Column) -> Column:
+        first = F.struct(zero.alias("state"), F.slice(F.array(zero), F.lit(1), F.lit(0)).alias("out"))
+        return F.aggregate(ends, first, lambda acc, e: F.struct(combine(acc["state"], e).alias("state"), F.array_append(acc["out"], acc["state"]).alias("out")), lambda acc: acc["out"])
+
+    def blocks(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / _BLOCK).cast("int")), lambda b: F.slice(x, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+    def whole(x: Column) -> Column:
+        ends = lambda b: F.transform(b, lambda block: F.aggregate(block, zero, lambda state, item: step(state, item)[0]))
+        return F.when(F.size(x) > 0, once(blocks(x), lambda b: F.flatten(F.zip_with(b, before(ends(b)), fold)))).otherwise(none(element))
+
+    return once(items, whole)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests, one machine) a temporary one, which is then set."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset and the master is this machine (tests), a temporary one, which is then set."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local($|\[)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="docloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)
