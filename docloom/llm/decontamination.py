@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored
+from .common import SPACE, once, stored
 
 #: Typed placeholders, one character each, and what joins the words of a name.
 NUMBER, NAME, UNIT, JOIN = "\ue000", "\ue001", "\ue002", "\ue003"
@@ -18,8 +18,10 @@ UNITS = (
     "kilogram kilograms t ton tons tonne tonnes oz ounce ounces lb lbs pound pounds ml cl l liter liters litre litres gallon gallons s sec second seconds min minute minutes "
     "h hr hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents degree degrees watt watts volt volts"
 ).split()
-#: Numbers in words.
-NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million dozen".split()
+#: Numbers in words, and those that are written as two.
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred thousand million dozen".split() + _TENS
+NUMBER_WORDS += [a + b for a in _TENS for b in ["one", *NUMBER_WORDS[:8]]]
 #: The two readings of a text: names are slots, or words like others (so that copies in other letter case are found).
 NAMED, PLAIN = 0, 1
 #: Rows that may be broadcast: at 8 to 16 bytes each these are a few tens of MB.
@@ -29,36 +31,43 @@ SMALL = 1_000_000
 def _raw(text: Column, reading: int) -> Column:
     """The text, with the words of a name of several words joined to one; every other white-space character stays where it is."""
     t = F.coalesce(text, F.lit(""))
-    return F.regexp_replace(t, r"(?<![^ \t-\r\p{P}])(\p{Lu}[\p{L}'’-]*+)[ \t-\r](?=\p{Lu})", "$1" + JOIN) if reading == NAMED else t
+    return F.regexp_replace(t, r"(\p{Lu}(?<![^ \t-\r\p{P}]\p{Lu})[\p{L}'’-]*+)[ \t-\r](?=\p{Lu})", "$1" + JOIN) if reading == NAMED else t
 
 
 def _canonical(raw: Column, reading: int) -> Column:
-    """raw with typed slots, in lower case and without signs.
+    """raw in lower case and without signs, names as slots.
 
-    A number is a word with a digit or one of NUMBER_WORDS; a name is a run of words with a capital, whatever its place in a
-    sentence (other words at the start of a sentence are slots as well, in items and documents alike); a unit is one of UNITS
-    after a number. No pattern steps back, so that long words cost no more than others.
+    A name is a run of words with a capital, whatever its place in a sentence (other words at the start of a sentence are slots as
+    well, in items and documents alike). Patterns start with the character that is rare and never step back.
     """
-    t = F.regexp_replace(raw, rf"(?<![^ \t-\r\p{{P}}])\p{{Lu}}[\p{{L}}{JOIN}'’-]*+(?![^ \t-\r\p{{P}}])", NAME) if reading == NAMED else raw
-    t = F.regexp_replace(t, rf"(?<![^ \t-\r])(?:[^ \t-\r\d]*+\d[^ \t-\r]*+|(?i:{'|'.join(sorted(NUMBER_WORDS, reverse=True))})(?![\p{{L}}\p{{N}}]))", NUMBER)
-    t = F.when(F.contains(t, F.lit(NUMBER + " ")), F.regexp_replace(t, rf"(?i)(?<={NUMBER} )(?:{'|'.join(UNITS)})(?![^ \t-\r\p{{P}}])", UNIT)).otherwise(t)
+    t = F.regexp_replace(raw, rf"\p{{Lu}}(?<![^ \t-\r\p{{P}}]\p{{Lu}})[\p{{L}}{JOIN}'’-]*+(?![^ \t-\r\p{{P}}])", NAME) if reading == NAMED else raw
     return F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}{NUMBER}-{UNIT} \t-\r]", "")
 
 
+def _typed(words: Column) -> Column:
+    """The words with slots for numbers (words with a digit, and NUMBER_WORDS) and for UNITS after a number."""
+    numbers = F.transform(words, lambda w: F.when(w.isin(*NUMBER_WORDS) | w.rlike(r"\d"), F.lit(NUMBER)).otherwise(w))
+    before = lambda n: F.concat(F.array(F.lit("")), F.slice(n, F.lit(1), F.size(n) - 1))
+    units = lambda n: F.zip_with(n, before(n), lambda w, b: F.when((b == NUMBER) & w.isin(*UNITS), F.lit(UNIT)).otherwise(w))
+    return once(numbers, lambda n: F.when(F.array_contains(n, F.lit(NUMBER)), units(n)).otherwise(n))
+
+
 def _is_slot(word: Column) -> Column:
     return word.rlike(f"[{NUMBER}-{UNIT}]")
 
 
 def _template(text: Column, reading: int) -> Column:
-    """The template's words."""
-    return F.filter(F.split(_canonical(_raw(text, reading), reading), SPACE + "+"), lambda w: w != "")
+    """Hashes of the template's words."""
+    words = F.filter(F.split(_canonical(_raw(text, reading), reading), SPACE + "+"), lambda w: w != "")
+    return F.transform(_typed(words), lambda w: F.xxhash64(w))
 
 
 def _pairs(text: Column, reading: int) -> Column:
     """array of (word, filler): the template's words; beside a slot what fills it (of a name of several words the last, as the first may be a sentence's first word), in lower case and without signs at its ends."""
     raw = _raw(text, reading)
-    filler = lambda a, b: F.when(_is_slot(a), F.regexp_replace(F.lower(F.substring_index(b, JOIN, -1)), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    return F.filter(F.zip_with(F.split(_canonical(raw, reading), SPACE), F.split(raw, SPACE), lambda a, b: F.struct(a.alias("word"), filler(a, b).alias("filler"))), lambda p: p["word"] != "")
+    filler = lambda b: F.regexp_replace(F.lower(F.substring_index(b, JOIN, -1)), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    both = F.filter(F.zip_with(F.split(_canonical(raw, reading), SPACE), F.split(raw, SPACE), lambda a, b: F.struct(a.alias("word"), b.alias("raw"))), lambda p: p["word"] != "")
+    return once(both, lambda x: F.zip_with(_typed(F.transform(x, lambda p: p["word"])), x, lambda w, p: F.struct(w.alias("word"), F.when(_is_slot(w), filler(p["raw"])).alias("filler"))))
 
 
 def _readings(df: DataFrame, name: str, of) -> DataFrame:
@@ -69,7 +78,7 @@ def _readings(df: DataFrame, name: str, of) -> DataFrame:
 
 
 def _windows(df: DataFrame, keep: list[str], words: str, sizes: list[int]) -> DataFrame:
-    """keep, pos, size and w, a hash, of each run of words, for each of the sizes; df holds the column reading.
+    """keep, pos, size and w, a hash, of each run of words (hashes of words), for each of the sizes; df holds the column reading.
 
     The words of a run come side by side out of shifted arrays, so that they are hashed in generated code; every size comes out of
     the same rows.
@@ -93,7 +102,7 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> tuple
     """Windows (item, item_id, reading, size, windows, ipos, w) and slots (item, pos, kind, filler) of the benchmark in both readings, each an item of its own; an item of fewer words is one window."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).dropDuplicates()
     items = _readings(items.withColumn("key", F.xxhash64("item_id", "text")), "pairs", _pairs).filter(F.size("pairs") > 0)
-    words = F.transform("pairs", lambda p: p["word"])
+    words = F.transform("pairs", lambda p: F.xxhash64(p["word"]))
     items = items.select(F.xxhash64("key", "reading").alias("item"), "key", "item_id", "reading", "pairs", words.alias("words"), F.least(F.size("pairs"), F.lit(size)).alias("own"))
     items = stored(items.withColumn("windows", F.size("words") - F.col("own") + 1), "items")
     windows = _windows(items, ["item", "key", "item_id", "own", "windows"], "words", list(range(1, size + 1))).filter("size = own").drop("own").withColumnRenamed("pos", "ipos")
@@ -127,7 +136,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     held = _readings(base.join(_fits(pairs.select("row").distinct()), "row").dropDuplicates(["row"]), "pairs", _pairs)
     slots = F.filter(F.transform("pairs", lambda p, i: F.struct(i.alias("dpos"), p["word"].alias("kind"), p["filler"].alias("now"))), lambda p: p["now"].isNotNull())
-    held = stored(held.select("row", "doc_id", "reading", F.transform("pairs", lambda p: p["word"]).alias("words"), slots.alias("slots")), "candidates")
+    held = stored(held.select("row", "doc_id", "reading", F.transform("pairs", lambda p: F.xxhash64(p["word"])).alias("words"), slots.alias("slots")), "candidates")
     at = _windows(held, ["row"], "words", sizes).select("row", F.col("pos").alias("dpos"), "w")
     match = at.join(pairs, "row").join(windows.select("item", "w", "ipos", "size", "windows"), ["item", "w"])
     match = match.select("row", "item", "ipos", "size", "windows", (F.col("dpos") - F.col("ipos")).alias("shift"))

@@ -23,17 +23,14 @@ def pairs(text, named):
     out = []
     for token in regex.split(SPACE, regex.sub(r"(?<![^ \t-\r\p{P}])(\p{Lu}[\p{L}'’-]*+)[ \t-\r](?=\p{Lu})", "\\1" + JOIN, text or "") if named else text or ""):
         w = regex.sub(rf"(?<![^\p{{P}}])\p{{Lu}}[\p{{L}}{JOIN}'’-]*+(?![^\p{{P}}])", NAME, token) if named else token
-        number = regex.match(rf"({'|'.join(NUMBER_WORDS)})(?![\p{{L}}\p{{N}}])", w, regex.I)
-        if regex.search("[0-9]", w):
-            w = NUMBER
-        elif number:
-            w = NUMBER + w[number.end() :]
-        out.append([w, token])
+        w = regex.sub(rf"[^\p{{L}}\p{{N}}{NUMBER}-{UNIT}]", "", w.lower())
+        if w:
+            out.append([NUMBER if regex.search("[0-9]", w) or w in NUMBER_WORDS else w, token])
     for (a, _), b in zip(out, out[1:], strict=False):
-        if a.endswith(NUMBER):
-            b[0] = regex.sub(rf"^({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![^\p{{P}}])", UNIT, b[0], flags=regex.I)
-    clean = [(regex.sub(rf"[^\p{{L}}\p{{N}}{NUMBER}-{UNIT}]", "", w.lower()), regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", t.split(JOIN)[-1].lower())) for w, t in out]
-    return [(w, t if regex.search(f"[{NUMBER}-{UNIT}]", w) else None) for w, t in clean if w]
+        if a == NUMBER and b[0] in UNITS:
+            b[0] = UNIT
+    clean = [(w, regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", t.split(JOIN)[-1].lower())) for w, t in out]
+    return [(w, t if regex.search(f"[{NUMBER}-{UNIT}]", w) else None) for w, t in clean]
 
 
 def judged(doc, item, size, share, agreement):
