@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from docloom.llm.chat import CHAT_SQL, link_quotations
+from docloom.llm.chat import CHAT_SQL, link_quotations, threads
 from docloom.llm.decontamination import benchmark_matches, decontaminate
 from docloom.llm.quality import RULES, quality_filter, quality_report, rule_order
 from docloom.llm.secrets import mask_secrets, secret_report
@@ -166,19 +166,89 @@ TURNS = [
 ]
 
 
-def test_chat(spark):
-    schema = "conv_id long, turn long, role string, text string"
-    df = spark.createDataFrame(TURNS, schema)
+CHAT = "conv_id long, turn long, role string, text string"
+
+
+def by_sql(rows, names):
     con = duckdb.connect()
-    con.register("conversations", pd.DataFrame(TURNS, columns=["conv_id", "turn", "role", "text"]))
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    return in_order(con.sql(f"SELECT {', '.join(names)} FROM ({CHAT_SQL})").fetchall())
+
+
+def test_chat(spark):
+    df = spark.createDataFrame(TURNS, CHAT)
     got = link_quotations(df)
-    names = got.columns
-    want = con.sql(f"SELECT {', '.join(names)} FROM ({CHAT_SQL})").fetchall()
-    assert rows_of(got) == in_order(want)
+    assert rows_of(got) == by_sql(TURNS, got.columns)
     by = {(r.conv_id, r.turn): r for r in got.collect()}
     assert by[1, 2].parent_turn == 1 and by[1, 2].text == "Good to hear.\n\nI am well." and by[1, 2].n_linked == 3
     assert by[4, 39].depth == 39 and by[4, 39].root_turn == 0
     assert by[3, 1].parent_turn is None
-    odd = spark.createDataFrame([(None, 1, "user", "> a\nb"), (1, None, "user", "> a\nb"), (1, 2, "user", "x" * 20000 + "\n" * 3000 + ">" * 3000)], schema).selectExpr("*", "1 AS lines", "2 AS path")
+    odd = spark.createDataFrame([(None, 1, "user", "> a\nb"), (1, None, "user", "> a\nb"), (1, 2, "user", "x" * 20000 + "\n" * 3000 + ">" * 3000)], CHAT).selectExpr("*", "1 AS lines", "2 AS path")
     assert link_quotations(odd).count() == 3
     assert link_quotations(df.limit(0)).collect() == []
+
+
+def test_parts_of_a_passage(spark):
+    """Quotes of one line, of two sentences of five, wrapped anew, and with a sentence in between that nobody said."""
+    first = "The ship left at noon. It carried paper\nand stone. Nobody saw it again! Was it lost? We think so.\nWrite to me"
+    rows = [
+        (1, 0, "user", first),
+        (1, 1, "user", "> Was it lost?\nYes."),
+        (1, 2, "user", "> It carried\n> paper and stone. Nobody saw\n> it again!\nHow sad."),
+        (1, 3, "user", "> Write to me\nI will."),
+        (1, 4, "user", "> The ship left at noon. Hm. It carried paper and stone.\nSure?"),
+        (1, 5, "user", "> How many ships were there in the end, and why? Was it lost?\nNo idea."),
+        (1, 6, "user", "> carried paper\nPart of a sentence."),
+        (1, 7, "user", "> How sad.\nIt is."),
+    ]
+    got = link_quotations(spark.createDataFrame(rows, CHAT))
+    assert [r.parent_turn for r in got.orderBy("turn").collect()] == [None, 0, 0, 0, 0, None, None, 2]
+    assert rows_of(got) == by_sql(rows, got.columns)
+
+
+def planted(seed, conversations, turns):
+    rng = random.Random(seed)
+    rows = []
+    for c in range(conversations):
+        said = []
+        for t in range(rng.randrange(1, turns)):
+            text = []
+            for _ in range(rng.choice([0, 1, 1, 1, 2]) if said else 0):
+                source = rng.choice(said)
+                lines = rng.choice([source, [rng.choice(source)], [" ".join(source)], " ".join(source).split(". ")[:2]])
+                mark = rng.choice(["> ", ">", ">> ", "> > "])
+                text += [mark + x for x in lines] + [rng.choice(["", "> ", "  "])]
+            own = [prose(rng, rng.randrange(1, 9)).capitalize() + rng.choice([".", "!", "", "? " + prose(rng, 3) + "."]) for _ in range(rng.randrange(4))]
+            if own:
+                said.append(own)
+            rows.append((c, t, rng.choice(["user", "assistant"]), rng.choice(["\n", "\n", "\n"]).join(text + own)))
+    return rows
+
+
+def test_planted_quotes(spark):
+    """Some thousand threads of conversations with quotes of passages, lines and sentences, against the SQL."""
+    rows = planted(12, 1500, 9)
+    got = link_quotations(spark.createDataFrame(rows, CHAT).repartition(3))
+    want = by_sql(rows, got.columns)
+    assert rows_of(got) == want
+    assert sum(r[5] for r in want) > 1500 and max(r[7] for r in want) > 2
+
+
+def test_a_long_thread_and_a_message_with_many_replies(spark):
+    rows = [(1, i, "user", f"> step {i - 1}\nstep {i}") for i in range(3000)] + [(2, 0, "user", "Who comes?")] + [(2, i, "user", "> Who comes?\nI do.") for i in range(1, 3000)]
+    got = {(r.conv_id, r.turn): r for r in link_quotations(spark.createDataFrame(rows, CHAT)).collect()}
+    assert all((got[1, i].depth, got[1, i].reply_pos, got[1, i].root_turn) == (i, i, 0) for i in range(3000))
+    assert all((got[2, i].depth, got[2, i].reply_pos, got[2, i].parent_turn) == (1, i, 0) for i in range(1, 3000))
+
+
+def test_threads(spark):
+    rows = planted(5, 30, 9)
+    linked = link_quotations(spark.createDataFrame(rows, CHAT)).cache()
+    parts = {}
+    for r in threads(linked, part_size=2).orderBy("conv_id", "root_turn", "part").collect():
+        assert len(r.messages) <= 2
+        parts.setdefault((r.conv_id, r.root_turn), []).extend((m.turn, m.text) for m in r.messages)
+    want = {}
+    for r in linked.orderBy("conv_id", "root_turn", "reply_pos").collect():
+        want.setdefault((r.conv_id, r.root_turn), []).append((r.turn, r.text))
+    assert parts == want and sum(map(len, want.values())) == len(rows)
