@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def hamming_blocks(n: int) -> int:
     """How many blocks of a half to make coarse for n fingerprints, so that an anchor has some dozens at most unless they are near copies; any number gives the same links."""
-    return 4 if n <= 1 << 22 else 2 if n <= 1 << 28 else 0
+    return 4 if n <= 1 << 22 else 2 if n <= 1 << 28 else 1
 
 
 def _anchors(distinct: DataFrame, blocks: int) -> DataFrame:
@@ -70,7 +70,7 @@ def _anchors(distinct: DataFrame, blocks: int) -> DataFrame:
     the code words of `blocks` Hamming blocks of 7 bits and of plain bits for the rest: the covering radius is `blocks`, and each
     word has one nearest anchor. A half is copied to the nearest anchor of each word within 1 bit of it (all of these lie within the
     covering radius plus half the threshold), so the two meet at the anchor of the word between them. With 4 blocks a half has 2^20
-    anchors and is copied to at most 17, with none 2^32 and 33.
+    anchors and is copied to at most 17, with one 2^29 and at most 29.
     """
 
     def cover(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

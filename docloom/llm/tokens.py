@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -112,25 +111,17 @@ class ByteLevelEncoder:
 
 
 class PieceCounter:
-    """Number of tokens of whole texts under a vocabulary that drops white space.
+    """Number of tokens of words under a vocabulary that drops white space.
 
-    No token spans white space there, so the count of a text is the sum over its distinct white-space-separated words of
-    frequency times pieces. The pieces of a word are counted once per task (up to CACHE words); ids are not kept.
+    No token spans white space there, so the count of a text is the sum over its distinct white-space-separated words of frequency
+    times pieces; ids are not kept.
     """
 
     def __init__(self, path: str):
         self.tok = _open(path)
-        self.known: dict[bytes, int] = {}
 
-    def count(self, frequencies: list[Counter]) -> list[int]:
-        known = self.known
-        new = list(set().union(*frequencies).difference(known))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            known.update(zip(some, (len(e) for e in self.tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)), strict=True))
-        out = [sum(n * known[w] for w, n in f.items()) for f in frequencies]
-        forget(known, new)
-        return out
+    def count(self, words: list[bytes]) -> list[int]:
+        return [len(e) for e in self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
 
 @lru_cache(4)
