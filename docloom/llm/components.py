@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -35,4 +35,6 @@ def components(links: DataFrame) -> DataFrame:
         if now == seen or not now[0]:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         seen = now
-        e = stored(_small_star(_large_star(e)), "links")
+        after = stored(_small_star(_large_star(e)), "links")
+        release(e)
+        e = after

@@ -52,6 +52,24 @@ def test_quality(odd, clashing, nothing, spark):
     assert {r.name for r in rule_order(df)} == {r.name for r in RULES}
 
 
+def test_rule_order(spark, tmp_path):
+    """The same each time; what rejects much for little comes first, and what the rules before it already reject counts for nothing."""
+    clean, short = [prose(random.Random(i), 80) for i in range(40)], ["a b c"] * 40
+    symbols = [prose(random.Random(i), 80) + " #" * 40 for i in range(30)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(clean + short + symbols)], "doc_id long, text string")
+    names = [r.name for r in rule_order(df)]
+    assert names[:2] == ["few_words", "symbols"] or names[:2] == ["symbols", "few_words"]
+    assert all([r.name for r in rule_order(df)] == names for _ in range(3))
+    # repeated lines of three words: the rule on lines rejects them, but the rule on words has done so before
+    lines = spark.createDataFrame([(i, t) for i, t in enumerate(clean + ["a b c\na b c"] * 50)], "doc_id long, text string")
+    assert [r.name for r in rule_order(lines)][0] == "few_words"
+    assert [r.name for r in rule_order(lines)][1:] == [r.name for r in sorted(RULES[1:], key=lambda r: sum(r.work))]
+    # of many files a few are read
+    df.repartition(40).write.parquet(str(tmp_path / "many"))
+    many = spark.read.parquet(str(tmp_path / "many"))
+    assert {r.name for r in rule_order(many, sample=5)} == {r.name for r in RULES} and quality_filter(many, sample=5).count() == 40
+
+
 BASE = (
     ("assign", re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[1]) >= 12),
     ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
