@@ -90,7 +90,7 @@ def _anchors(distinct: DataFrame, blocks: int) -> DataFrame:
     return mapped(distinct.select("fp"), cover, "anchor long, fp long")
 
 
-class _Sets:
+class Groups:
     """Union-find over 0..n-1 by arrays of pairs."""
 
     def __init__(self, n: int):
@@ -113,7 +113,7 @@ def _links(fp: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.ndarray, np
     n = len(fp)
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     sizes = np.diff(np.append(starts, n))
-    sets = _Sets(n)
+    sets = Groups(n)
     small = np.repeat(sizes <= 64, sizes)
     for lag in range(1, int(sizes[sizes <= 64].max(initial=1))):
         i = np.flatnonzero((group[lag:] == group[:-lag]) & small[lag:])
