@@ -14,7 +14,7 @@ from .common import mapped, stored
 from .tokens import counter, rows
 
 #: The most frequent pre-tokens, whose part of the join happens where a document is read: so many, and so many bytes, at most.
-HEAD, HEAD_BYTES = 200_000, 8 << 20
+HEAD, HEAD_BYTES = 400_000, 8 << 20
 #: Pre-tokens that are longer are never among them.
 HEAD_WORD = 4096
 #: Distinct pre-tokens, and bytes of them, that a task holds before it passes them on.
@@ -103,11 +103,11 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         total += n * p
                 sums.append(total)
                 ends.append(len(words))
-            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["word", "n"]))
+            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int32())], ["word", "n"]))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), rest], names=["row", "doc_id", "n_bytes", "n_tokens", "rest"])
 
-    every = stored(mapped(source, frequencies, "row long, doc_id long, n_bytes long, n_tokens long, rest array<struct<word: binary, n: long>>"), "frequencies")
-    rest = every.filter(F.size("rest") > 0).select("row", "doc_id", "n_bytes", "n_tokens", F.explode("rest").alias("r")).select("row", "doc_id", "n_bytes", "n_tokens", "r.*")
-    rest = rest.join(table.select("word", "pieces"), "word").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), (F.first("n_tokens") + F.sum(F.col("n") * F.col("pieces"))).alias("n_tokens")).drop("row")
-    whole = every.filter(F.size("rest") == 0).select("doc_id", "n_bytes", "n_tokens")
-    return whole.unionByName(rest).withColumn("over_limit", F.col("n_tokens") > limit)
+    every = stored(mapped(source, frequencies, "row long, doc_id long, n_bytes long, n_tokens long, rest array<struct<word: binary, n: int>>"), "frequencies")
+    rest = every.filter(F.size("rest") > 0).select("row", F.explode("rest").alias("r")).select("row", "r.*").join(table.select("word", "pieces"), "word")
+    rest = rest.groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
+    every = every.select("row", "doc_id", "n_bytes", "n_tokens").join(rest, "row", "left").withColumn("n_tokens", F.col("n_tokens") + F.coalesce("more", F.lit(0)))
+    return every.select("doc_id", "n_bytes", "n_tokens").withColumn("over_limit", F.col("n_tokens") > limit)
