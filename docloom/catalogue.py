@@ -154,6 +154,30 @@ query(
     [{"$bucket": {"groupBy": "$o_totalprice", "boundaries": [0.0, 50000.0, 100000.0, 200000.0], "default": -1.0, "output": {"n": {"$sum": 1}, "top": {"$max": "$o_totalprice"}}}}],
     "SELECT CASE WHEN o_totalprice >= 0 AND o_totalprice < 50000 THEN 0.0 WHEN o_totalprice >= 50000 AND o_totalprice < 100000 THEN 50000.0 WHEN o_totalprice >= 100000 AND o_totalprice < 200000 THEN 100000.0 ELSE -1.0 END::DOUBLE AS _id, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY 1",
 )
+query(
+    "q_bucket_null_default",
+    "orders",
+    [{"$bucket": {"groupBy": "$o_totalprice", "boundaries": [0.0, 50000.0, 100000.0], "default": -1.0, "output": {"top": {"$max": {"$cond": [{"$lt": ["$o_totalprice", 100000]}, "$o_totalprice", None]}}, "n": {"$sum": 1}}}}],
+    "SELECT CASE WHEN o_totalprice < 50000 THEN 0.0 WHEN o_totalprice < 100000 THEN 50000.0 ELSE -1.0 END::DOUBLE AS _id, max(CASE WHEN o_totalprice < 100000 THEN o_totalprice END) AS top, count(*) AS n FROM orders GROUP BY 1",
+)
+query(
+    "q_bucket_auto_prices",
+    "orders",
+    [{"$bucketAuto": {"groupBy": "$o_totalprice", "buckets": 7, "output": {"n": {"$sum": 1}, "last": {"$max": "$o_orderkey"}}}}, fields(lo="$_id.min", hi="$_id.max", n=1, last=1)],
+    "WITH d AS (SELECT o_totalprice AS p, row_number() OVER (ORDER BY o_totalprice) AS r, count(*) AS n, max(o_orderkey) AS k FROM orders GROUP BY 1), s AS (SELECT greatest(1, floor(sum(n) / 7 + 0.5)) AS size FROM d), b AS (SELECT least(floor((r - 1) / size), 6) AS b, min(p) AS lo, max(p) AS top, sum(n)::BIGINT AS n, max(k) AS last FROM d, s GROUP BY 1) SELECT lo, coalesce(lead(lo) OVER (ORDER BY b), top) AS hi, n, last FROM b",
+)
+_AT = lambda name, n: {f"{name}_{i}": {"$arrayElemAt": [f"${name}", i]} for i in range(n)}
+query(
+    "q_acc_n_order",
+    "orders",
+    [
+        {"$sort": {"o_orderkey": 1}},
+        {"$group": {"_id": "$o_orderstatus", "top": {"$topN": {"n": 3, "sortBy": {"o_totalprice": -1, "o_orderkey": 1}, "output": "$o_orderkey"}}, "bottom": {"$bottomN": {"n": 3, "sortBy": {"o_totalprice": -1, "o_orderkey": 1}, "output": "$o_orderkey"}},
+                    "most": {"$maxN": {"n": 2, "input": "$o_totalprice"}}, "least": {"$minN": {"n": 2, "input": "$o_totalprice"}}, "first": {"$firstN": {"n": 2, "input": "$o_orderkey"}}, "last": {"$lastN": {"n": 2, "input": "$o_orderkey"}}}},
+        fields(status="$_id", **_AT("top", 3), **_AT("bottom", 3), **_AT("most", 2), **_AT("least", 2), **_AT("first", 2), **_AT("last", 2)),
+    ],
+    "WITH g AS (SELECT o_orderstatus AS status, list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS t, list(o_totalprice ORDER BY o_totalprice) AS p, list(o_orderkey ORDER BY o_orderkey) AS k FROM orders GROUP BY 1) SELECT status, t[1] AS top_0, t[2] AS top_1, t[3] AS top_2, t[-3] AS bottom_0, t[-2] AS bottom_1, t[-1] AS bottom_2, p[-1] AS most_0, p[-2] AS most_1, p[1] AS least_0, p[2] AS least_1, k[1] AS first_0, k[2] AS first_1, k[-2] AS last_0, k[-1] AS last_1 FROM g",
+)
 query(
     "q_bucket_auto",
     "part",
@@ -364,6 +388,25 @@ def _merge(c, o):
     return target.df
 
 
+def _merged(when: str, sql: str, sort: int = 1, new: str = "insert") -> None:
+    """Orders, several of a customer, merged into a third of all customers; the last order in the sort's order counts."""
+
+    def run(c, o):
+        target = FrameTarget(c("customer").filter("c_custkey % 3 = 0").selectExpr("c_custkey", "CAST(NULL AS BIGINT) AS o_orderkey", "c_acctbal AS price"))
+        aggregate(c("orders"), [{"$match": {"o_custkey": {"$lt": 400}}}, {"$sort": {"o_orderkey": sort}}, fields(c_custkey="$o_custkey", o_orderkey=1, price="$o_totalprice"), {"$merge": {"into": target, "on": "c_custkey", "whenMatched": when, "whenNotMatched": new}}], o)
+        return target.df
+
+    custom(f"q_merge_{when.lower()}_{new}", sql)(run)
+
+
+_OLD = "t AS (SELECT c_custkey, NULL::BIGINT AS o_orderkey, c_acctbal AS price FROM customer WHERE c_custkey % 3 = 0), n AS (SELECT o_custkey AS c_custkey, o_orderkey, o_totalprice AS price FROM orders WHERE o_custkey < 400)"
+_LAST = "l AS (SELECT c_custkey, arg_max(o_orderkey, o_orderkey) AS o_orderkey, arg_max(price, o_orderkey) AS price FROM n GROUP BY 1)"
+_FRESH = "SELECT * FROM n WHERE c_custkey NOT IN (SELECT c_custkey FROM t)"
+_merged("replace", f"WITH {_OLD}, {_LAST} SELECT t.c_custkey, l.o_orderkey, coalesce(l.price, t.price) AS price FROM t LEFT JOIN l USING (c_custkey) UNION ALL {_FRESH}")
+_merged("merge", f"WITH {_OLD}, {_LAST.replace('arg_max', 'arg_min')} SELECT t.c_custkey, l.o_orderkey, coalesce(l.price, t.price) AS price FROM t LEFT JOIN l USING (c_custkey)", -1, "discard")
+_merged("keepExisting", f"WITH {_OLD} SELECT * FROM t UNION ALL {_FRESH}")
+
+
 @custom("q_out", "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 0")
 def _out(c, o):
     class Held:

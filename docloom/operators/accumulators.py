@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..context import SpecError, register
-from ..functions.collections import last_n, merged, nearest_rank, over
+from ..functions.collections import last_n, merged, over
 from ..plans.scope import Scope
 from ..plans.values import kind
 
@@ -60,7 +60,7 @@ def gathered(g: Group, value: Column, order: list[tuple[Column, bool]] | None =
     return F.transform(rows, lambda r: r["v"])
 
 
-def _extreme(g: Group, value: Column, last: bool) -> Column:
+def extreme(g: Group, value: Column, last: bool) -> Column:
     """The first or last value in order, by one comparison a row."""
     if not g.order:
         return g.over(F.last(value) if last else F.first(value))
@@ -105,8 +105,8 @@ def _sum(s: Scope, arg: Any, g: Group) -> Column:
 register("accumulator", "$count", lambda s, arg, g: g.over(F.count(F.lit(1))))
 register("accumulator", "$max", lambda s, arg, g: g.over(F.max(s.compile(arg))))
 register("accumulator", "$min", lambda s, arg, g: g.over(F.min(s.compile(arg))))
-register("accumulator", "$first", lambda s, arg, g: _extreme(g, s.compile(arg), False))
-register("accumulator", "$last", lambda s, arg, g: _extreme(g, s.compile(arg), True))
+register("accumulator", "$first", lambda s, arg, g: extreme(g, s.compile(arg), False))
+register("accumulator", "$last", lambda s, arg, g: extreme(g, s.compile(arg), True))
 register("accumulator", "$push", lambda s, arg, g: gathered(g, s.compile("$$ROOT" if arg is None else arg)))
 
 
@@ -149,7 +149,7 @@ register("accumulator", "$bottomN", lambda s, arg, g: last_n(_sorted_output(s, a
 
 def _one(last: bool) -> Callable:
     """An array of the one value; rows are compared, not gathered."""
-    return lambda s, arg, g: F.array(_extreme(Group(sort_keys(s, arg["sortBy"]), g.over), s.compile(arg["output"]), last))
+    return lambda s, arg, g: F.array(extreme(Group(sort_keys(s, arg["sortBy"]), g.over), s.compile(arg["output"]), last))
 
 
 register("accumulator", "$top", _one(False))
@@ -160,7 +160,7 @@ def _rank(s: Scope, arg: dict, g: Group, p: float) -> Column:
     c = s.compile(arg["input"]).cast("double")
     if arg.get("method", "approximate") == "exact":
         return g.over(F.percentile(c, F.lit(float(p))))
-    return nearest_rank(F.sort_array(g.over(F.collect_list(c))), p)
+    return g.over(F.percentile_approx(c, F.lit(float(p)), F.lit(10_000)))
 
 
 register("accumulator", "$percentile", lambda s, arg, g: F.array(*[_rank(s, arg, g, p) for p in arg["p"]]))

@@ -14,7 +14,7 @@ from ..context import Options, SpecError, register
 from ..plans.scope import Scope
 from ..plans.values import follow, kind, literal
 from ..sources.catalog import resolve
-from .accumulators import ORDERED, Group, accumulate, gathered
+from .accumulators import ORDERED, Group, accumulate, extreme, gathered
 from .paths import put, put_all
 from .projection import project
 from .query import compile_query
@@ -188,7 +188,7 @@ def _bucket(f: Flow, arg: dict) -> Flow:
         at = at.when((c >= literal(edges[i], t)) & (c < literal(edges[i + 1], t)), F.lit(i))
     at = at.otherwise(F.lit(n) if "default" in arg else F.raise_error(F.lit("$bucket: a value is outside all boundaries and there is no default")).cast("int"))
     fields = arg.get("output") or {"count": {"$sum": 1}}
-    found = grouped(f, at, "__bucket", fields)
+    found = grouped(f, at, "__bucket", fields | {"__n": {"$sum": 1}})
     names = [*edges[:-1], *([arg["default"]] if "default" in arg else [])]
     same = len({type(x) for x in names}) == 1
     spark = f.df.sparkSession
@@ -197,26 +197,40 @@ def _bucket(f: Flow, arg: dict) -> Flow:
         every = every.withColumn(key, F.col(key).cast("int"))
     zero = {k: F.coalesce(F.col(k), F.lit(0).cast(found.schema[k].dataType)) if set(v) & {"$sum", "$count"} else F.when(F.col(k).isNull(), F.array().cast(found.schema[k].dataType)).otherwise(F.col(k)) if isinstance(found.schema[k].dataType, T.ArrayType) else F.col(k) for k, v in fields.items()}
     joined = every.join(found, "__bucket", "left")
-    joined = joined if "default" not in arg else joined.filter((F.col("__bucket") < n) | F.col(next(iter(fields))).isNotNull())
+    joined = joined if "default" not in arg else joined.filter((F.col("__bucket") < n) | F.col("__n").isNotNull())
     return f.to(joined.select(F.col(key), *[zero[k].alias(k) for k in fields]))
 
 
+#: Ranges in which $bucketAuto ranks values.
+PARTS = 256
+
+
 @_stage("$bucketAuto")
 def _bucket_auto(f: Flow, arg: dict) -> Flow:
     """max(1, round(n / buckets)) different values a bucket, the rest in the last; _id holds min and the next bucket's min (for the last its max).
 
-    Ranks are taken over the distinct values, which are counted before the one window that sees them all.
+    Ranks are taken over the distinct values. Numbers and dates are dealt into PARTS ranges by approximate quantiles, ranked in each
+    and moved on by what the ranges before it hold, so that no task sees all of them; other values are ranked in one window.
     """
     s, key, buckets = f.scope(), f.options.id_key, int(arg["buckets"])
     if buckets < 1:
         raise SpecError("buckets is 1 or more")
-    c = s.compile(arg["groupBy"])
+    c, t = s.typed(arg["groupBy"])
     held = f.df.withColumn("__key", c)
     distinct = held.groupBy("__key").agg(F.count(F.lit(1)).alias("n"))
-    total = distinct.agg(F.sum("n").alias("total"))
-    w = Window.orderBy(F.col("__key").asc_nulls_first())
+    up = F.col("__key").asc_nulls_first()
+    if isinstance(t, (T.NumericType, T.DateType, T.TimestampType)):
+        bounds = distinct.agg(F.percentile_approx("__key", [i / PARTS for i in range(1, PARTS)]).alias("bounds"))
+        dealt = distinct.join(F.broadcast(bounds)).withColumn("part", F.coalesce(F.size(F.filter("bounds", lambda b: b < F.col("__key"))), F.lit(0)))
+        parts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("n"))  # PARTS rows at most, like the windows over them
+        every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        parts = parts.select("part", (F.sum("values").over(Window.orderBy("part")) - F.col("values")).alias("before"), F.sum("n").over(every).alias("total"))
+        placed_ = dealt.drop("bounds", "n").join(F.broadcast(parts), "part").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(up)) - 1)
+    else:
+        total = distinct.agg(F.sum("n").alias("total"))
+        placed_ = distinct.join(F.broadcast(total)).withColumn("place", F.row_number().over(Window.orderBy(up)) - 1)
     size = F.greatest(F.lit(1), F.floor(F.col("total") / buckets + 0.5))
-    ranked = distinct.join(F.broadcast(total)).select("__key", F.least(F.floor((F.row_number().over(w) - 1) / size), F.lit(buckets - 1)).cast("int").alias("__bucket"))
+    ranked = placed_.select("__key", F.least(F.floor(F.col("place") / size), F.lit(buckets - 1)).cast("int").alias("__bucket"))
     fields = arg.get("output") or {"count": {"$sum": 1}}
     g = replace(f, df=held.join(ranked, held["__key"].eqNullSafe(ranked["__key"]), "left").drop(ranked["__key"]))
     found = grouped(g, F.col("__bucket"), "__bucket", fields | {"__min": {"$min": "$__key"}, "__max": {"$max": "$__key"}})
@@ -384,7 +398,10 @@ def merged_target(f: Flow, target: DataFrame, arg: dict) -> DataFrame:
     cond = F.lit(True)
     for k in on:
         cond = cond & F.col(f"__old.{k}").eqNullSafe(F.col(f"__new.{k}"))
-    both = old.join(docs, cond, "full_outer")
+    # of several documents that match one of the target the last counts; of those that match none each is inserted
+    ordered, order = placed(f, [{"$last": None}])
+    last = ordered.df.groupBy(*[F.col(k).alias(f"__on{i}") for i, k in enumerate(on)]).agg(extreme(Group(order), F.struct(*f.df.columns), True).alias("__new")).select("__new")
+    both = old.join(last, cond, "left").unionByName(docs.join(old, cond, "left_anti"), allowMissingColumns=True)
     hit = F.col("__old").isNotNull() & F.col("__new").isNotNull()
     types = {**{c: t for c, t in f.df.dtypes}, **dict(target.dtypes)}
     side = lambda which, df, c: F.col(f"{which}.{c}").cast(types[c]) if c in df.columns else F.lit(None).cast(types[c])

@@ -373,6 +373,21 @@ def test_merge(spark, arg, want):
         assert sorted((r["_id"], r["a"], r["b"]) for r in merged_target(Flow(new), target, arg).collect()) == want
 
 
+@pytest.mark.parametrize(
+    "arg,want",
+    [
+        ({"whenMatched": "replace"}, [(1, 1, 1), (2, 21, None), (3, 30, None), (3, 31, None)]),
+        ({"whenMatched": "merge"}, [(1, 1, 1), (2, 21, 2), (3, 30, None), (3, 31, None)]),
+        ({"whenMatched": "keepExisting", "whenNotMatched": "discard"}, [(1, 1, 1), (2, 2, 2)]),
+        ({"whenMatched": [{"$set": {"a": {"$add": ["$a", "$$new.a"]}}}], "whenNotMatched": "discard"}, [(1, 1, 1), (2, 23, 2)]),
+    ],
+)
+def test_merge_of_repeated_keys(spark, arg, want):
+    """Of several documents that match one of the target the last counts; each that matches none is inserted."""
+    target, new = documents(spark, TARGET, "_id int, a int, b int"), documents(spark, [{"_id": 2, "a": 20}, {"_id": 3, "a": 30}, {"_id": 2, "a": 21}, {"_id": 3, "a": 31}], "_id int, a int")
+    assert sorted(((r["_id"], r["a"], r["b"]) for r in merged_target(Flow(new), target, arg).collect()), key=str) == want
+
+
 def test_sinks(spark, tmp_path):
     documents(spark, TARGET, "_id int, a int, b int").write.parquet(f"{tmp_path}/t")
     into = FileTarget(spark, f"{tmp_path}/t")
