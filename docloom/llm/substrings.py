@@ -177,8 +177,8 @@ def _windows(content: DataFrame, length: int) -> DataFrame:
                 w = gram_hashes(np.frombuffer(words.as_py(), np.uint64), length)
                 yield pa.record_batch([pa.array(np.full(len(w), h)), pa.array(np.full(len(w), c)), pa.array(np.full(len(w), lo)), pa.array(np.arange(len(w), dtype=np.int32)), pa.array(w.view(np.int64))], names=["h", "c", "lo", "from", "w"])
 
-    one = mapped(content, cut, "h long, c long, lo long, `from` int, w long")
-    first = one.groupBy("w").agg(F.min("lo").alias("first"))
+    one = stored(mapped(content, cut, "h long, c long, lo long, `from` int, w long"), "crowded-windows")
+    first = stored(one.groupBy("w").agg(F.min("lo").alias("first")), "first-windows")  # apart from the join, as in _runs()
     return one.join(first, "w").filter("lo > first").select("h", "c", "from", F.lit(1).alias("n"))
 
 
