@@ -37,9 +37,13 @@ def register(kind: str, name: str, function: Callable | None = None):
 
 @dataclass
 class Context:
-    """Operators of one query, looked up before the global ones; an entry is never overridden. Update operators are global only."""
+    """Operators of one query, looked up before the global ones; an entry is never overridden. Update operators are global only.
+
+    use_global: whether operators that the query doesn't bring are those registered for all queries, or unknown.
+    """
 
     own: dict[str, dict[str, Callable]] = field(default_factory=lambda: {k: {} for k in KINDS})
+    use_global: bool = True
 
     def add(self, kind: str, name: str, function: Callable) -> Context:
         _checked(kind, name)
@@ -49,7 +53,7 @@ class Context:
         return self
 
     def get(self, kind: str, name: str) -> Callable | None:
-        return self.own[kind].get(name) or _global[kind].get(name)
+        return self.own[kind].get(name) or (_global[kind].get(name) if self.use_global else None)
 
 
 @dataclass

@@ -105,13 +105,44 @@ def _from_parts(s: Scope, arg: dict) -> Column:
 PATTERN = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%L": "SSS", "%j": "DDD", "%z": "xx", "%b": "MMM", "%B": "MMMM"}
 
 
+#: What specifiers stand for in a text, for formats that Spark's patterns can't read.
+SCAN = {"%Y": r"(\d{4})", "%G": r"(\d{4})", "%m": r"(\d{2})", "%d": r"(\d{2})", "%H": r"(\d{2})", "%M": r"(\d{2})", "%S": r"(\d{2})", "%L": r"(\d{3})", "%V": r"(\d{1,2})", "%u": r"([1-7])", "%z": r"([+-]\d{2}):?(\d{2})", "%Z": r"([+-]\d{3})"}
+
+
+def _scanned(c: Column, parts: list[str]) -> Column:
+    """The timestamp in a text with ISO weeks (%G, %V, %u) or an offset in minutes (%Z); null if the text isn't of the format or no date."""
+    pattern, groups = "", {}
+    for p in parts:
+        if p.startswith("%") and p != "%%":
+            if p not in SCAN:
+                raise SpecError(f"$dateFromString can't read {p}")
+            groups[p] = 1 + sum(SCAN[k].count("(") for k in groups)
+            pattern += SCAN[p]
+        else:
+            pattern += re.sub(r"([^A-Za-z0-9 ])", r"\\\1", "%" if p == "%%" else p)
+    held = c.rlike(f"^{pattern}$")
+    part = lambda p, default=0, more=0: F.try_to_number(F.regexp_extract(c, f"^{pattern}$", groups[p] + more), F.lit("S9999")).cast("int") if p in groups else F.lit(default)
+    if "%G" in groups or "%V" in groups:
+        fourth = F.make_date(F.when(held, part("%G" if "%G" in groups else "%Y", 1970)), F.lit(1), F.lit(4))
+        day = F.when(part("%V", 1).between(1, 53), F.date_add(fourth, (part("%V", 1) - 1) * 7 + part("%u", 1) - 1 - F.weekday(fourth)))
+        out = F.timestamp_add("SECOND", (part("%H") * 60 + part("%M")) * 60 + part("%S"), day.cast("timestamp"))
+    else:
+        out = F.try_make_timestamp(part("%Y", 1970), part("%m", 1), part("%d", 1), part("%H"), part("%M"), part("%S").cast("decimal(8,6)"))
+    out = F.timestamp_add("MILLISECOND", part("%L"), out)
+    minutes = part("%Z")
+    if "%z" in groups:
+        hours = F.regexp_extract(c, f"^{pattern}$", groups["%z"])
+        minutes = minutes + F.when(F.startswith(hours, F.lit("-")), -1).otherwise(1) * (F.abs(part("%z")) * 60 + part("%z", 0, 1))
+    return F.when(held, F.timestamp_add("MINUTE", -minutes, out))
+
+
 @register("expression", "$dateFromString")
 def _from_string(s: Scope, arg: dict) -> Column:
     """onNull for null, onError for what isn't a date (null without it)."""
     c, tz = s.compile(arg["dateString"]).cast("string"), arg.get("timezone")
     if "format" in arg:
         parts = re.findall(r"%.|[^%]+", arg["format"])
-        out = F.try_to_timestamp(c, F.lit("".join(PATTERN[p] if p in PATTERN else "'" + p.replace("'", "''") + "'" if re.search("[A-Za-z]", p) else p for p in parts)))
+        out = _scanned(c, parts) if {"%G", "%V", "%u", "%U", "%Z"} & set(parts) else F.try_to_timestamp(c, F.lit("".join(PATTERN[p] if p in PATTERN else "'" + p.replace("'", "''") + "'" if re.search("[A-Za-z]", p) else p for p in parts)))
     else:
         out = F.try_to_timestamp(c)
     out = F.to_utc_timestamp(out, zone(tz)) if tz else out
@@ -133,11 +164,12 @@ def _to_string(s: Scope, arg: dict) -> Column:
     c, tz = _local(s, arg), arg.get("timezone")
     fmt = arg.get("format", "%Y-%m-%dT%H:%M:%S.%LZ")
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    offset = zone(tz) if tz and tz[0] in "+-" else "+00:00"
-    minutes = (-1 if offset[0] == "-" else 1) * (int(offset[1:3]) * 60 + int(offset[4:6]))
+    minutes = F.timestamp_diff("MINUTE", moment(s, arg["date"]), c) if tz else F.lit(0).cast("long")
+    ahead = F.abs(minutes)
+    offset = F.concat(F.when(minutes < 0, "-").otherwise("+"), two(F.floor(ahead / 60)), two(ahead % 60))
     special = {
         "%G": lambda: PARTS["$isoWeekYear"](c).cast("string"), "%V": lambda: two(F.weekofyear(c)), "%u": lambda: (F.weekday(c) + 1).cast("string"), "%U": lambda: two(week(c)), "%w": lambda: F.dayofweek(c).cast("string"),
-        "%z": lambda: F.lit(offset.replace(":", "")), "%Z": lambda: F.lit(str(minutes)), "%%": lambda: F.lit("%"),
+        "%z": lambda: offset, "%Z": lambda: minutes.cast("string"), "%%": lambda: F.lit("%"),
     }
     out = [special[p]() if p in special else F.date_format(c, PATTERN[p]) if p in PATTERN else F.lit(p) for p in re.findall(r"%.|[^%]+", fmt)]
     text = F.concat(*out) if out else F.lit("")

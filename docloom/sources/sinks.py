@@ -53,7 +53,9 @@ class FrameTarget:
 def target_of(spark: SparkSession, collections: Any, into: Any) -> Any:
     if hasattr(into, "read") and hasattr(into, "write") and not isinstance(into, DataFrame):
         return into
-    found = collections.get(into) if isinstance(collections, dict) and isinstance(into, str) else None
+    found = None
+    if isinstance(into, str) and collections is not None:  # by name, through the same mapping or function that names collections
+        found = collections(into) if callable(collections) else collections.get(into)
     if found is not None and hasattr(found, "write") and not isinstance(found, DataFrame):
         return found
-    raise SpecError("$merge goes into a target with read() and write(): FrameTarget or FileTarget")
+    raise SpecError("$merge goes into a target with read() and write(): FrameTarget or FileTarget, or a name that the collections give such a target for")

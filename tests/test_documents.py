@@ -470,3 +470,50 @@ def test_variables_and_now(spark):
     got = run(spark, [{"x": 2}], [{"$project": {"_id": 0, "v": {"$multiply": ["$x", "$$rate"]}, "r": "$$ROOT.x", "t": {"$type": "$$NOW"}}}], variables={"rate": 10})
     assert got == [{"v": 20, "r": 2, "t": "date"}]
     assert Aggregator([{"$addFields": {"y": 1, "x": "$$REMOVE"}}]).run(documents(spark, [{"x": 1, "z": 2}])) == [{"z": 2, "y": 1}]
+
+
+@pytest.mark.parametrize(
+    "text,form,want",
+    [
+        ("2020-W01-1", "%G-W%V-%u", "2019-12-30 00:00:00"),
+        ("2021-W53-7 10:05", "%G-W%V-%u %H:%M", "2022-01-09 10:05:00"),
+        ("2017-02-08T12:10:40.250+090", "%Y-%m-%dT%H:%M:%S.%L%Z", "2017-02-08 10:40:40.250000"),
+        ("2017-02-08 12:10 -060", "%Y-%m-%d %H:%M %Z", "2017-02-08 13:10:00"),
+        ("2017-02-30 12:10 -060", "%Y-%m-%d %H:%M %Z", None),
+        ("other", "%G-W%V-%u", None),
+    ],
+)
+def test_date_formats_with_iso_weeks_and_minute_offsets(spark, text, form, want):
+    got = run(spark, [{"_id": 1, "s": text}], [{"$project": {"d": {"$dateFromString": {"dateString": "$s", "format": form}}}}], "_id int, s string")
+    assert str(got[0]["d"]) == str(want)
+
+
+def test_unreadable_specifier_is_an_error(spark):
+    with pytest.raises(SpecError):
+        run(spark, [{"_id": 1, "s": "x"}], [{"$project": {"d": {"$dateFromString": {"dateString": "$s", "format": "%Y %U"}}}}], "_id int, s string")
+
+
+@pytest.mark.parametrize("tz,want", [("Asia/Tokyo", "09 +0900 540"), ("-03:30", "20 -0330 -210"), ("+0200", "02 +0200 120"), (None, "00 +0000 0")])
+def test_offsets_of_regions(spark, tz, want):
+    import datetime as dt
+
+    spec = {"date": "$d", "format": "%H %z %Z"} | ({"timezone": tz} if tz else {})
+    got = run(spark, [{"_id": 1, "d": dt.datetime(2020, 7, 1)}], [{"$project": {"s": {"$dateToString": spec}}}], "_id int, d timestamp")
+    assert got[0]["s"] == want
+
+
+def test_merge_into_a_name(spark):
+    frame = FrameTarget(documents(spark, TARGET, "_id int, a int, b int"))
+    docs = documents(spark, NEW, "_id int, a int")
+    for collections in ({"there": frame}, lambda name: {"there": frame}[name]):
+        aggregate(docs, [{"$merge": {"into": "there"}}], Options(collections=collections))
+    assert frame.df.count() == 3
+
+
+def test_only_the_query_s_own_operators(spark):
+    docs = documents(spark, NEW, "_id int, a int")
+    alone = Context(use_global=False)
+    with pytest.raises(SpecError):
+        aggregate(docs, [{"$limit": 1}], Options(context=alone))
+    alone.add("pipeline", "$half", lambda f, arg: f.to(f.df.limit(1)))
+    assert aggregate(docs, [{"$half": {}}], Options(context=alone)).count() == 1
