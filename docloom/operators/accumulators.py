@@ -195,7 +195,7 @@ def _accumulator(s: Scope, arg: dict, g: Group) -> Column:
         return finish(state)
 
     values = F.struct(*[s.compile(x).alias(f"a{i}") for i, x in enumerate(arg["accumulateArgs"])])
-    return F.udf(fold, arg.get("returns", "double"))(gathered(g, values))
+    return F.udf(fold, arg.get("returns", "double"), useArrow=True)(gathered(g, values))
 
 
 def accumulate(s: Scope, spec: dict, g: Group) -> Column:
