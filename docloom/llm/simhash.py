@@ -211,10 +211,10 @@ def first_of_components(docs: DataFrame, found: DataFrame, id_col: str, text_col
     """docs with one row of each component as in simhash_dedup(); found, stored: doc_id, row (a hash of the text) and root of every row."""
     first = stored(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")), "first")  # apart from the join, which can then split a large component
     others = found.join(first, "root").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))))
-    others = others.select(F.col("doc_id").alias("__id"), F.col("row").alias("__of")).distinct()
-    marked = docs.withColumn("__row", F.xxhash64(F.col(text_col)))
-    kept = marked.join(others, marked[id_col].cast("long").eqNullSafe(others["__id"]) & (marked["__row"] == others["__of"]), "left_anti")
+    others = others.select(F.col("doc_id").alias("other"), F.col("row").alias("other_of")).distinct()
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("of"))
+    kept = given.join(others, F.col("id").eqNullSafe(F.col("other")) & (F.col("of") == F.col("other_of")), "left_anti")
     total, distinct = found.agg(F.count(F.lit(1)), F.countDistinct(F.struct("doc_id", "row"))).first()
     if total != distinct:
-        kept = kept.dropDuplicates([id_col, "__row"])
-    return kept.drop("__row")
+        kept = kept.dropDuplicates(["id", "of"])
+    return kept.select(*[F.col("given")[c].alias(c) for c in docs.columns])

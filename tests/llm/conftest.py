@@ -49,7 +49,7 @@ def clashing(odd):
     """More columns, named like those that operators use or return."""
     from pyspark.sql import functions as F
 
-    names = ["row", "h", "c", "fp", "root", "component_id", "kept", "n_words", "words", "spans", "found", "pairs", "start", "length", "piece", "part", "ids", "hot", "runs", "w", "item", "size", "lines", "path"]
+    names = ["row", "h", "c", "fp", "root", "component_id", "kept", "n_words", "words", "spans", "found", "pairs", "start", "length", "piece", "part", "ids", "hot", "runs", "w", "item", "size", "lines", "path", "given", "id", "of", "other", "every", "now", "reading", "quote", "__row", "__id", "__found", "__bad"]
     return odd.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
 
 
