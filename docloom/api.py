@@ -69,10 +69,10 @@ class Cursor:
     def limit(self, n: int) -> Cursor:
         return self._add("$limit", n)
 
-    def collation(self, name: str) -> Cursor:
+    def collation(self, spec: str | dict) -> Cursor:
         from dataclasses import replace
 
-        self.options = replace(self.options, collation=name)
+        self.options = replace(self.options, collation=spec)
         return self
 
     def frame(self) -> DataFrame:

@@ -58,11 +58,11 @@ class Context:
 
 @dataclass
 class Options:
-    """id_key: the key that projections keep; strict: whether an empty string is true and the projection $elemMatch stops at its first match; collation: a Spark collation for sorting strings; collections: names to DataFrames, or a
+    """id_key: the key that projections keep; strict: whether an empty string is true and the projection $elemMatch stops at its first match; collation: for sorting strings, a Spark collation's name or a dict of locale, strength (1 letters, 2 accents too, 3 case too), caseLevel, caseFirst (upper, lower, off), numericOrdering and alternate (shifted: blanks and punctuation don't count); collections: names to DataFrames, or a
     function; variables: values for $$name; validator: from a JSON schema to a Python predicate on a row as dict; script_enabled: allow host functions."""
 
     id_key: str = "_id"
-    collation: str | None = None
+    collation: str | dict | None = None
     collections: Any = None
     variables: dict[str, Any] = field(default_factory=dict)
     validator: Callable | None = None

@@ -147,6 +147,26 @@ register("accumulator", "$topN", lambda s, arg, g: F.slice(_sorted_output(s, arg
 register("accumulator", "$bottomN", lambda s, arg, g: last_n(_sorted_output(s, arg, g), _n(s, arg)))
 
 
+#: Accumulators that return n of a group's values, and whether these are the last in their order.
+BOUNDED = {"$firstN": False, "$lastN": True, "$maxN": True, "$minN": False, "$topN": False, "$bottomN": True}
+
+
+def wanted(s: Scope, spec: Any, order: list[tuple[Column, bool]]) -> tuple[int, Column, list[Column]] | None:
+    """n, which documents count, and the order in which the first n of them hold all that the accumulator returns; None if n isn't known beforehand."""
+    ((name, arg),) = spec.items() if isinstance(spec, dict) and len(spec) == 1 else ((None, None),)
+    if name not in BOUNDED or not isinstance(arg["n"], int) or isinstance(arg["n"], bool) or arg["n"] < 1 or s.options.context.own["accumulator"].get(name):
+        return None
+    if name in ("$maxN", "$minN"):
+        value = s.compile(arg["input"])
+        keys, counts = [(value, False)], value.isNotNull()
+    else:
+        value = s.compile(arg["output" if "sortBy" in arg else "input"])
+        keys, counts = list(sort_keys(s, arg["sortBy"]) if "sortBy" in arg else order), F.lit(True)
+        if len({down for _, down in keys}) == 1:  # as gathered() settles ties
+            keys.append((value, keys[0][1]))
+    return arg["n"], counts, [c.desc_nulls_last() if down != BOUNDED[name] else c.asc_nulls_first() for c, down in keys]
+
+
 def _one(last: bool) -> Callable:
     """An array of the one value; rows are compared, not gathered."""
     return lambda s, arg, g: F.array(extreme(Group(sort_keys(s, arg["sortBy"]), g.over), s.compile(arg["output"]), last))

@@ -12,9 +12,9 @@ from pyspark.sql.window import Window
 
 from ..context import Options, SpecError, register
 from ..plans.scope import Scope
-from ..plans.values import follow, kind, literal
+from ..plans.values import collated, follow, literal
 from ..sources.catalog import resolve
-from .accumulators import ORDERED, Group, accumulate, extreme, gathered
+from .accumulators import ORDERED, Group, accumulate, extreme, gathered, wanted
 from .paths import put, put_all
 from .projection import project
 from .query import compile_query
@@ -41,7 +41,8 @@ class Flow:
         return replace(self, df=df, order=keep if len(keep) == len(self.order) else [])
 
     def keys(self) -> list[tuple[Column, bool]]:
-        return [(self.scope().field(c)[0], d) for c, d in self.order]
+        s = self.scope()
+        return [(key, d) for c, d in self.order for key in collated(*s.field(c), self.options.collation)]
 
 
 def run(flow: Flow, pipeline: list[dict]) -> Flow:
@@ -124,10 +125,7 @@ def _sort(f: Flow, arg: dict) -> Flow:
     """null first, last if descending; strings by the collation, if there is one."""
     s, out = f.scope(), []
     for k, v in arg.items():
-        c, t = s.field(k)
-        if f.options.collation and kind(t) == "string":
-            c = F.collate(c, f.options.collation)
-        out.append(c.desc_nulls_last() if v in (-1, "desc") else c.asc_nulls_first())
+        out += [c.desc_nulls_last() if v in (-1, "desc") else c.asc_nulls_first() for c in collated(*s.field(k), f.options.collation)]
     return replace(f, df=f.df.orderBy(*out), order=[(k, v in (-1, "desc")) for k, v in arg.items()])
 
 
@@ -153,12 +151,31 @@ def placed(f: Flow, specs: list[dict]) -> tuple[Flow, list[tuple[Column, bool]]]
     return f, [(F.col(PLACE), False)]
 
 
+def repeatable(df: DataFrame) -> bool:
+    """Whether the plan gives the same documents each time it runs."""
+    plan = df._jdf.queryExecution().analyzed()
+    return not df.isStreaming and plan.deterministic() and not any(x in plan.toString() for x in ("GlobalLimit", "Offset"))
+
+
 def grouped(f: Flow, by: Column, name: str, fields: dict) -> DataFrame:
-    """One row a group: name holds its key, each field an accumulator's value."""
+    """One row a group: name holds its key, each field an accumulator's value.
+
+    What returns n values of a group sees only the n documents that count, by a rank whose limit is taken before the shuffle too, and
+    is joined to the rest. A plan that need not give the same documents twice is read once, and gathers the groups.
+    """
+    steady = repeatable(f.df)
     f, order = placed(f, list(fields.values()))
     s = Scope(f.df.drop(PLACE), f.options, f.now) if f.now else Scope(f.df.drop(PLACE), f.options)
     g = Group(order)
-    return f.df.groupBy(by.alias(name)).agg(*[accumulate(s, v, g).alias(k) for k, v in fields.items()] or [F.lit(None).alias("__none")]).select(name, *fields)
+    whole = lambda df, some: df.groupBy(by.alias(name)).agg(*[accumulate(s, v, g).alias(k) for k, v in some.items()] or [F.lit(None).alias("__none")])
+    near = {k: w for k, v in fields.items() if (w := wanted(s, v, order))} if steady else {}
+    out = whole(f.df, {k: v for k, v in fields.items() if k not in near})
+    for k, (n, counts, keys) in near.items():
+        first = f.df.filter(counts).withColumn("__rank", F.row_number().over(Window.partitionBy(by).orderBy(*keys))).filter(F.col("__rank") <= n)
+        part = whole(first, {k: fields[k]}).withColumnRenamed(name, "__by")
+        empty = F.array().cast(part.schema[k].dataType)
+        out = out.join(part, out[name].eqNullSafe(part["__by"]), "left").withColumn(k, F.coalesce(F.col(f"`{k}`"), empty)).drop("__by")
+    return out.select(name, *fields)
 
 
 @_stage("$group")
@@ -320,7 +337,14 @@ def _unwind(f: Flow, arg: Any) -> Flow:
 
 @_stage("$sample")
 def _sample(f: Flow, arg: dict) -> Flow:
-    """size documents by chance, each at most once."""
+    """size documents by chance, each at most once; with replacement: true, size independent draws.
+
+    Draws with replacement: each document comes a Poisson number of times, with so high a mean that fewer than size in all have a chance
+    below e^-20, and size of these are taken by chance.
+    """
+    if arg.get("replacement"):
+        n, size = f.df.count(), int(arg["size"])
+        f = f.to(f.df.sample(True, (size + 10 * size**0.5 + 50) / n)) if n else f
     return f.to(f.df.orderBy(F.rand()).limit(int(arg["size"])))
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..context import SpecError
+
 NULL = T.NullType()
 
 
@@ -165,3 +167,29 @@ def same(c: Column, t: T.DataType, v: Any) -> Column:
             out = out & same(F.get(c, F.lit(i)), t.elementType, x)
         return out
     return c == literal(v, t)
+
+
+def collated(c: Column, t: T.DataType, spec: str | dict | None) -> list[Column]:
+    """What to sort by: the column, or for strings and a collation (see Options) its key and, where that leaves ties to the case, one for these."""
+    if not spec or kind(t) != "string":
+        return [c]
+    if isinstance(spec, str):
+        return [F.collate(c, spec)]
+    if spec["locale"] == "simple":
+        return [c]
+    if unknown := set(spec) - {"locale", "strength", "caseLevel", "caseFirst", "numericOrdering", "alternate"}:
+        raise SpecError(f"unknown collation options: {', '.join(sorted(unknown))}")
+    strength, case = spec.get("strength", 3), spec.get("caseLevel", False) or spec.get("strength", 3) > 2
+    if spec.get("alternate") == "shifted":
+        c = F.regexp_replace(c, r"[\s\p{P}]+", "")
+    key = c
+    if spec.get("numericOrdering"):  # a run of digits sorts by its length without leading zeros first
+        runs = F.regexp_extract_all(c, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+        number = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
+        key = F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.char_length(number(x)).cast("string"), 10, "0"), number(x))).otherwise(x)), "")
+    first = spec.get("caseFirst", "off") if case else "off"
+    name = spec["locale"].replace("-", "_").split("_")[0] + ("_CI" if not case or first != "off" else "") + ("_AI" if strength < 2 else "")
+    if first == "off":
+        return [F.collate(key, name)]
+    ties = c if first == "upper" else F.transform(F.split(c, ""), lambda x: F.when(x == F.lower(x), F.lit(0)).otherwise(F.lit(1)))
+    return [F.collate(key, name), ties]

@@ -223,6 +223,56 @@ def test_group_and_sort(spark):
     assert [d["k"] for d in run(spark, [{"k": x} for x in ("b", "A", "a", "B")], [{"$sort": {"k": 1}}], collation="UNICODE_CI")] in (["A", "a", "b", "B"], ["a", "A", "b", "B"], ["A", "a", "B", "b"], ["a", "A", "B", "b"])
 
 
+@pytest.mark.parametrize(
+    ("collation", "want"),
+    [
+        ({"locale": "en", "strength": 1}, [{"a", "A", "\u00e1"}, {"a10"}, {"a2"}, {"b"}]),
+        ({"locale": "en", "strength": 2}, [{"a", "A"}, {"\u00e1"}, {"a10"}, {"a2"}, {"b"}]),
+        ({"locale": "en-US"}, ["a", "A", "\u00e1", "a10", "a2", "b"]),
+        ({"locale": "en", "caseFirst": "upper"}, ["A", "a", "\u00e1", "a10", "a2", "b"]),
+        ({"locale": "en", "caseFirst": "lower"}, ["a", "A", "\u00e1", "a10", "a2", "b"]),
+        ({"locale": "en", "numericOrdering": True}, ["a", "A", "\u00e1", "a2", "a10", "b"]),
+        ({"locale": "simple"}, ["A", "a", "a10", "a2", "b", "\u00e1"]),
+    ],
+)
+def test_collation(spark, collation, want):
+    got = [d["k"] for d in run(spark, [{"k": x} for x in ("b", "A", "a10", "a", "a2", "\u00e1")], [{"$sort": {"k": 1}}], collation=collation)]
+    if isinstance(want[0], set):
+        got = [set(got[sum(map(len, want[:i])) : sum(map(len, want[: i + 1]))]) for i in range(len(want))]
+    assert got == want
+
+
+def test_collation_punctuation(spark):
+    docs = [{"k": x} for x in ("-c", "b", " a")]
+    assert [d["k"] for d in run(spark, docs, [{"$sort": {"k": 1}}], collation={"locale": "en", "alternate": "shifted"})] == [" a", "b", "-c"]
+    with pytest.raises(SpecError):
+        run(spark, docs, [{"$sort": {"k": 1}}], collation={"locale": "en", "backwards": True})
+
+
+def test_sample_with_replacement(spark):
+    docs = documents(spark, [{"v": i} for i in range(5)])
+    got = [d["v"] for d in run(spark, docs, [{"$sample": {"size": 40, "replacement": True}}])]
+    assert len(got) == 40 and set(got) <= set(range(5))
+    assert run(spark, docs.limit(0), [{"$sample": {"size": 3, "replacement": True}}]) == []
+
+
+def test_first_n_of_groups(spark):
+    """Groups without a value, null keys, ties and both directions, as read in one pass and as ranked."""
+    rows = [(k, v, i) for i, (k, v) in enumerate([("a", 3), ("a", None), ("a", 3), ("b", None), (None, 1), (None, 2), ("a", 5), ("a", 4)])]
+    by = lambda way, op: {op: {"n": 2, "sortBy": {"v": way}, "output": "$i"}}
+    group = {"_id": "$k", "n": {"$sum": 1}, "mx": {"$maxN": {"n": 2, "input": "$v"}}, "mn": {"$minN": {"n": 2, "input": "$v"}}, "f": {"$firstN": {"n": 2, "input": "$v"}}, "l": {"$lastN": {"n": 2, "input": "$v"}}, "t": by(-1, "$topN"), "b": by(-1, "$bottomN"), "u": by(1, "$topN")}
+    df = spark.createDataFrame(rows, "k string, v int, i int").repartition(3)
+    want = [
+        {"_id": None, "n": 2, "mx": [2, 1], "mn": [1, 2], "f": [1, 2], "l": [1, 2], "t": [5, 4], "b": [5, 4], "u": [4, 5]},
+        {"_id": "a", "n": 5, "mx": [5, 4], "mn": [3, 3], "f": [3, None], "l": [5, 4], "t": [6, 7], "b": [0, 1], "u": [1, 0]},
+        {"_id": "b", "n": 1, "mx": [], "mn": [], "f": [None], "l": [None], "t": [3], "b": [3], "u": [3]},
+    ]
+    for docs in (df, df.limit(100)):
+        plan = aggregate(docs, [{"$sort": {"i": 1}}, {"$group": group}])
+        assert ("WindowGroupLimit" in plan._jdf.queryExecution().toString()) == (docs is df)
+        assert sorted((d.asDict() for d in plan.collect()), key=lambda d: d["_id"] or "") == want
+
+
 def test_bucket(spark):
     docs = [{"x": v} for v in (0, 5, 10, 15, 25, None)]
     pipeline = [{"$bucket": {"groupBy": "$x", "boundaries": [0, 10, 20, 25], "default": -1, "output": {"n": {"$sum": 1}, "xs": {"$push": "$x"}}}}, {"$sort": {"_id": 1}}]
