@@ -354,9 +354,11 @@ def _set_window_fields(f: Flow, arg: dict) -> Flow:
     spec = arg.get("partitionBy")
     parts = [] if spec is None else [s.compile(spec)]
     values = {k: window_field(s, parts, arg.get("sortBy") or {}, v) for k, v in arg["output"].items()}
-    if all("." not in k for k in values):
+    if all("." not in k and isinstance(v, Column) for k, v in values.items()):
         return f.to(f.df.withColumns(values))
-    held = f.df.withColumns({f"__w{i}": v for i, v in enumerate(values.values())})
+    held = f.df.withColumns({f"__w{i}": v for i, v in enumerate(values.values()) if isinstance(v, Column)})
+    for i, v in enumerate(values.values()):
+        held = held if isinstance(v, Column) else v(held, f"__w{i}")
     out = put_all(held, {k: lambda c, t, i=i: F.col(f"__w{i}") for i, k in enumerate(values)})
     return f.to(out.drop(*[f"__w{i}" for i in range(len(values))]))
 

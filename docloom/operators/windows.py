@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
@@ -20,8 +21,11 @@ NEED_SORT = {"$denseRank", "$documentNumber", "$first", "$last", "$linearFill",
 WHOLE = {"$denseRank", "$documentNumber", "$rank", "$shift", "$expMovingAvg", "$linearFill", "$locf"}
 
 
-#: Natural logarithm of the weight below which a value no longer counts in a double.
-REACH = 40.0
+#: Natural logarithm of the share to which weights of a moving average fall within a block.
+REACH = 250.0
+
+#: A window operator that takes more than one window over another: adds the column of a name to a DataFrame.
+Step = Callable[[DataFrame, str], DataFrame]
 
 
 class Frame:
@@ -125,28 +129,39 @@ def _integral(f: Frame, arg: dict) -> Column:
 
 
 @register("window", "$expMovingAvg")
-def _exp_moving_avg(f: Frame, arg: dict) -> Column:
+def _exp_moving_avg(f: Frame, arg: dict) -> Step:
     """alpha, or 2 / (N + 1), times the value plus the rest of the average before; null throughout if one isn't a number.
 
-    The average of row n is (1 - alpha)^n y0 plus the sum of alpha (1 - alpha)^(n - i) yi. A row folds only the values whose weight
-    still counts in a double (the last REACH / alpha or so), so frames are bounded and no partition is gathered.
+    The average of row n is (1 - alpha)^n y0 plus the sum of alpha (1 - alpha)^(n - i) yi: a running sum of values with growing weights,
+    scaled back. So that weights stay within a double, rows are cut into blocks at whose length a weight has fallen by e^REACH; a block
+    starts from the average at the end of the one before, and what lies before that is far below a double's last digit.
     """
     if ("N" in arg) == ("alpha" in arg):
         raise SpecError("$expMovingAvg takes N or alpha")
     alpha = float(arg["alpha"]) if "alpha" in arg else 2 / (arg["N"] + 1)
     y = f.s.compile(arg["input"]).cast("double")
-    reach = 1 if alpha >= 1 else math.ceil(REACH / -math.log1p(-alpha))
-    first = F.first(y).over(f.ordered().rowsBetween(Window.unboundedPreceding, 0))
-    place = F.row_number().over(f.ordered())
-    near = F.collect_list(y).over(f.ordered().rowsBetween(-reach, 0))
-    start = F.when(place <= reach + 1, first).otherwise(F.get(near, F.lit(0)))
-    fold = F.aggregate(F.slice(near, F.lit(2), F.size(near)), start, lambda a, v: v * alpha + a * (1 - alpha))
+    parts = f.parts or [F.lit(1)]
     whole = f.ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return F.when(F.count(y).over(whole) == F.count(F.lit(1)).over(whole), fold)
-
-
-def window_field(s: Scope, parts: list[Column], by: dict, spec: dict) -> Column:
-    """The Column of {operator: operand, window: {documents | range, unit}}."""
+    fall = -math.log1p(-alpha) if alpha < 1 else REACH
+    length = math.ceil(REACH / fall)
+
+    def step(df: DataFrame, name: str) -> DataFrame:
+        at, y_, local, full = (F.col(f"{name}_{x}") for x in ("at", "y", "local", "full"))
+        i = at % length
+        held = df.withColumns({f"{name}_at": F.row_number().over(f.ordered()) - 1, f"{name}_y": y, f"{name}_full": F.count(y).over(whole) == F.count(F.lit(1)).over(whole)})
+        if alpha >= 1:
+            return held.withColumn(name, F.when(full, y_)).drop(f"{name}_at", f"{name}_y", f"{name}_full")
+        block = Window.partitionBy(*parts, F.floor(at / length)).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+        held = held.withColumn(f"{name}_local", F.sum(F.when(at == 0, y_).otherwise(y_ * alpha) * F.exp(i * fall)).over(block) * F.exp(-i * fall))
+        before = F.last(F.when(i == length - 1, local), ignorenulls=True).over(Window.partitionBy(*parts).orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
+        held = held.withColumn(name, F.when(full, local + F.coalesce(before, F.lit(0.0)) * F.exp(-(i + 1) * fall)))
+        return held.drop(*[f"{name}_{x}" for x in ("at", "y", "local", "full")])
+
+    return step
+
+
+def window_field(s: Scope, parts: list[Column], by: dict, spec: dict) -> Column | Step:
+    """The Column, or the step that adds it, of {operator: operand, window: {documents | range, unit}}."""
     ops = [k for k in spec if k != "window"]
     if len(ops) != 1:
         raise SpecError("a window field holds one operator")

@@ -338,12 +338,13 @@ def test_windows(spark, field, want):
     assert [d["v"] for d in got] == [None if w is None else pytest.approx(w) for w in want]
 
 
-def test_long_moving_average_is_bounded(spark):
+@pytest.mark.parametrize("alpha", [0.5, 0.999, 0.01, 1.0])
+def test_long_moving_average_is_bounded(spark, alpha):
     rows = [(i, float(i % 17)) for i in range(800)]
-    got = run(spark, spark.createDataFrame(rows, "i long, v double"), [{"$setWindowFields": {"sortBy": {"i": 1}, "output": {"e": {"$expMovingAvg": {"input": "$v", "alpha": 0.5}}}}}, {"$sort": {"i": 1}}])
+    got = run(spark, spark.createDataFrame(rows, "i long, v double"), [{"$setWindowFields": {"sortBy": {"i": 1}, "output": {"e": {"$expMovingAvg": {"input": "$v", "alpha": alpha}}}}}, {"$sort": {"i": 1}}])
     a = rows[0][1]
     for (_, v), d in zip(rows, got, strict=True):
-        a = 0.5 * v + 0.5 * a if d["i"] else a
+        a = alpha * v + (1 - alpha) * a if d["i"] else a
         assert d["e"] == pytest.approx(a, abs=1e-9)
 
 
