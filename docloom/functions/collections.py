@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..context import SpecError, register
 from ..plans.scope import REMOVE, Scope
-from ..plans.values import NULL, field, kind, truthy
+from ..plans.values import NULL, field, kind, once, truthy
 from .scalar import _operator
 
 
@@ -229,10 +229,16 @@ def _array_to_object(s: Scope, x: Any) -> Column:
 
 def merged_entries(pairs: Column) -> Column:
     """A map of (k, v) pairs, each key where it first stands, with its last value."""
-    backwards = F.reverse(pairs)
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    values = F.transform(keys, lambda k: F.get(F.filter(backwards, lambda p: p["k"] == k), F.lit(0))["v"])
-    return F.map_from_arrays(keys, values)
+    differs = lambda x, y: ~x["k"].eqNullSafe(y["k"])
+
+    def picked(p: Column, order: Column) -> Column:
+        first = F.filter(order, lambda x, i: (i == 0) | differs(x, F.get(order, i - 1)))
+        last = F.filter(order, lambda x, i: (i == F.size(order) - 1) | differs(x, F.get(order, i + 1)))
+        keys = F.sort_array(F.zip_with(first, last, lambda f, z: F.struct(f["at"].alias("first"), z["at"].alias("last"))))
+        return once(keys, lambda ks: F.map_from_arrays(F.transform(ks, lambda x: F.get(p, x["first"])["k"]), F.transform(ks, lambda x: F.get(p, x["last"])["v"])))
+
+    ordered = lambda p: F.sort_array(F.transform(p, lambda x, i: F.struct(x["k"].alias("k"), i.alias("at"))))
+    return once(pairs, lambda p: once(ordered(p), lambda o: picked(p, o)))
 
 
 def over(a: Column, b: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..context import SpecError, register
 from ..plans.scope import Scope
-from ..plans.values import kind, literal, regex
+from ..plans.values import before, kind, literal, once, regex
 
 
 def _unary(name: str, function) -> None:
@@ -233,12 +233,15 @@ def _pattern(arg: dict) -> tuple[str, int]:
 
 def _found(t: Column, p: str, groups: int) -> Column:
     """array of (match, idx, captures): what lies between the matches gives their places."""
-    all_ = [F.regexp_extract_all(t, F.lit(p), F.lit(g)) for g in range(groups + 1)]
-    gaps = F.split(t, p, -1)
-    lengths = F.zip_with(F.transform(all_[0], lambda m: F.char_length(m)), F.slice(gaps, F.lit(1), F.size(all_[0])), lambda m, g: m + F.char_length(g))
-    starts = F.transform(gaps, lambda g, i: F.char_length(g) + F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x))
-    captures = lambda i: F.array(*[F.get(c, i) for c in all_[1:]]) if groups else F.array().cast("array<string>")
-    return F.transform(all_[0], lambda m, i: F.struct(m.alias("match"), F.get(starts, i).alias("idx"), captures(i).alias("captures")))
+    found = F.struct(F.split(t, p, -1).alias("gaps"), *[F.regexp_extract_all(t, F.lit(p), F.lit(g)).alias(f"g{g}") for g in range(groups + 1)])
+
+    def placed(z: Column) -> Column:
+        lengths = F.zip_with(z["g0"], F.slice(z["gaps"], F.lit(1), F.size(z["g0"])), lambda m, g: F.char_length(m) + F.char_length(g))
+        captures = lambda i: F.array(*[F.get(z[f"g{g}"], i) for g in range(1, groups + 1)]) if groups else F.array().cast("array<string>")
+        one = lambda at: lambda m, i: F.struct(m.alias("match"), (at(i) + F.char_length(F.get(z["gaps"], i))).alias("idx"), captures(i).alias("captures"))
+        return before(lengths, lambda at: F.transform(z["g0"], one(at)))
+
+    return once(found, placed)
 
 
 @register("expression", "$regexFindAll")

@@ -141,6 +141,27 @@ def anywhere(c: Column, t: T.DataType, parts: list[str], test: Callable[[Column,
     return test(c, t)
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), with c computed once however often use names it."""
+    return F.transform(F.array(c), lambda v: use(v))[0]
+
+
+#: Elements of an array that are summed together first in before().
+STEP = 256
+
+
+def before(numbers: Column, use: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """use(f), where f(i) is the sum of the ints that stand before place i: of whole steps, then of single numbers."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    step = lambda i: (i / STEP).cast("int")
+
+    def placed(a: Column, heads: Column) -> Column:
+        return use(lambda i: F.get(heads, step(i)) + total(F.slice(a, step(i) * STEP + 1, i % STEP)))
+
+    steps = lambda a: F.transform(F.sequence(F.lit(0), step(F.size(a))), lambda b: total(F.slice(a, b * STEP + 1, F.lit(STEP))))
+    return once(numbers, lambda a: once(steps(a), lambda b: once(F.transform(b, lambda _, i: total(F.slice(b, F.lit(1), i))), lambda heads: placed(a, heads))))
+
+
 def closed(c: Column) -> Column:
     """False where a predicate is null: for what negates or shows it. A filter needs none, and its plain comparisons reach the scan."""
     return F.coalesce(c, F.lit(False))

@@ -242,6 +242,18 @@ def test_collation(spark, collation, want):
     assert got == want
 
 
+def test_many_matches_and_keys(spark):
+    """Places over more than one step, repeated keys; null and empty inputs."""
+    df = spark.createDataFrame([(1, "ab1 " * 700, [(str(i % 300), i) for i in range(1000)]), (2, "", []), (3, None, None)], "i int, t string, p array<struct<k string, v int>>")
+    spec = {"_id": 0, "i": 1, "f": {"$regexFindAll": {"input": "$t", "regex": "(b)[0-9]"}}, "o": {"$arrayToObject": "$p"}}
+    found = aggregate(df, [{"$project": spec}])
+    got = {r["i"]: r for r in found.collect()}
+    assert [(m["match"], m["idx"], m["captures"]) for m in got[1]["f"]] == [("b1", 4 * i + 1, ["b"]) for i in range(700)]
+    assert got[1]["o"] == {str(k): 900 + k if k < 100 else 600 + k for k in range(300)}
+    assert found.filter("i = 1").selectExpr("map_keys(o)").first()[0] == [str(k) for k in range(300)]
+    assert (got[2]["f"], got[2]["o"], got[3]["f"], got[3]["o"]) == ([], {}, [], None)
+
+
 def test_collation_punctuation(spark):
     docs = [{"k": x} for x in ("-c", "b", " a")]
     assert [d["k"] for d in run(spark, docs, [{"$sort": {"k": 1}}], collation={"locale": "en", "alternate": "shifted"})] == [" a", "b", "-c"]
