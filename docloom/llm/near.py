@@ -1,4 +1,4 @@
-"""Near-dedup by the Jaccard similarity of word shingles: bands of least hashes give candidates, whose shingles are then compared."""
+"""SimHash near-dedup at a Jaccard similarity of word shingles: anchor-point covering of long fingerprints gives candidates, whose shingles are then compared exactly."""
 
 from __future__ import annotations
 
@@ -6,20 +6,26 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mapped, stored
 from .components import components
 from .shingles import gram_hashes, mix, word_hashes
-from .simhash import Groups, first_of_components
+from .simhash import Groups, _home, code_words, crowded_blocks, first_of_components, first_reached, whole_groups
 from .tokens import rows
 
-#: A band is a key of WIDTH least hashes. Two documents of similarity 0.8 share one of 20 bands with a chance of 0.9996, of 0.9 with 1 - 1e-8.
-BANDS, WIDTH = 20, 5
+#: Bits of a part of a fingerprint and parts of a word of it. A part meets others at its nearest code word, as in simhash.py.
+PART, PARTS = 21, 3
+#: Words of 64 bits in a fingerprint, by the number of Hamming blocks in a part. Two sets of similarity 0.8 differ in 0.1515 of the bits
+#: (the angle between them over pi) and share the anchor of a part with a chance of 0.0695 (two blocks) or 0.0470 (one), of some part with 0.9996.
+WORDS = {2: 37, 1: 55}
+#: Bits of the first two words that may differ between candidates: at similarity 0.8 more do with a chance of 1.3e-6, of two unrelated sets fewer with 1.3e-5.
+BITS = 40
 #: Cells of a membership table in work at a time.
 CELLS = 1 << 22
-_FACTORS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, BANDS * WIDTH + WIDTH, np.uint64, endpoint=False) | np.uint64(1)
+_SEEDS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, max(WORDS.values()), np.uint64, endpoint=False)
+_LANES = np.uint64(0x0101010101010101)
 
 
 def _shingles(data: bytes, size: int) -> np.ndarray:
@@ -28,17 +34,23 @@ def _shingles(data: bytes, size: int) -> np.ndarray:
     return np.unique(gram_hashes(w, min(size, len(w)))) if len(w) else np.zeros(1, np.uint64)
 
 
-def _keys(shingles: np.ndarray) -> np.ndarray:
-    """The key of each band."""
-    least = np.full(BANDS * WIDTH, np.iinfo(np.uint64).max, np.uint64)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 4096):
-            least = np.minimum(least, (shingles[at : at + 4096] * _FACTORS[: BANDS * WIDTH, None]).min(axis=1))
-        return mix((mix(least.reshape(BANDS, WIDTH)) * _FACTORS[BANDS * WIDTH :]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+def near_blocks(n: int) -> int:
+    """How many Hamming blocks a part of a fingerprint has for n texts, so that an anchor has some hundreds at most unless they are near copies; either gives the recall of WORDS."""
+    return 2 if n <= 1 << 24 else 1
 
 
-def _signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """doc_id, row (a hash of the text), s (a hash of the set of shingles), n (how many these are) and keys of every row."""
+def _fingerprint(shingles: np.ndarray, words: int) -> np.ndarray:
+    """words of 64 bits, each the majority of the shingles' hashes under a seed of its own; a bit is 1 if set in over half of them."""
+    ones = np.zeros((words, 8, 8), np.int64)
+    for at in range(0, len(shingles), 255):  # so that eight counts fit the bytes of a word
+        h = mix(shingles[at : at + 255] ^ _SEEDS[:words, None])
+        for bit in range(8):
+            ones[:, bit] += (h >> np.uint64(bit) & _LANES).sum(axis=1, dtype=np.uint64).view(np.uint8).reshape(words, 8)
+    return np.packbits((2 * ones > len(shingles)).reshape(words, 64), axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def _signatures(docs: DataFrame, id_col: str, text_col: str, size: int, words: int) -> DataFrame:
+    """doc_id, row (a hash of the text), s (a hash of the set of shingles), n (how many these are) and fp (words of the fingerprint) of every row."""
 
     def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -46,11 +58,66 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataF
         for b in rows(batches, text=2):
             sets = [_shingles(t.as_py() or b"", size) for t in b.column(2)]
             s = np.array([xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
-            keys = pa.array([_keys(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(s), pa.array([len(x) for x in sets], pa.int64()), keys], names=["doc_id", "row", "s", "n", "keys"])
+            fp = pa.array([_fingerprint(x, words).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(s), pa.array([len(x) for x in sets], pa.int64()), fp], names=["doc_id", "row", "s", "n", "fp"])
 
     text = F.col(text_col)
-    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.cast("binary").alias("text")), compute, "doc_id long, row long, s long, n long, keys array<long>")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.cast("binary").alias("text")), compute, "doc_id long, row long, s long, n long, fp array<long>")
+
+
+def _anchors(one: DataFrame, blocks: int) -> DataFrame:
+    """anchor, x and y (the first two words): each fingerprint at the anchor of each of its parts.
+
+    A part of 21 bits has `blocks` Hamming blocks of 7 bits and plain bits for the rest; the code is perfect, so one anchor lies
+    within the covering radius. Of two fingerprints that differ in fewer bits than there are parts some part is equal, so they
+    always meet; those of similar sets differ in more and meet with the chance given at WORDS.
+    """
+
+    def cover(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home = _home().astype(np.uint64)
+        for b in rows(batches, 1024):
+            fp = np.asarray(b.column(0).flatten()).view(np.uint64).reshape(b.num_rows, -1)
+            part = fp[:, :, None] >> (PART * np.arange(PARTS)).astype(np.uint64) & np.uint64((1 << PART) - 1)
+            number = np.arange(part[0].size, dtype=np.uint64).reshape(part[0].shape) << np.uint64(PART)
+            at = (code_words(part, blocks, home) | number).reshape(b.num_rows, -1)
+            columns = [at.ravel(), *(np.repeat(fp[:, k], at.shape[1]) for k in (0, 1))]
+            yield pa.record_batch([pa.array(c.view(np.int64)) for c in columns], names=["anchor", "x", "y"])
+
+    return mapped(one.select("fp"), cover, "anchor long, x long, y long")
+
+
+def _groups(at: DataFrame) -> DataFrame:
+    """key, x and y: the groups that differences of up to BITS bits connect among the fingerprints of one anchor; key is a hash of the group, equal where it is found again."""
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, *fp in whole_groups(batches):
+            x, y = (c.view(np.uint64) for c in fp)
+            root = first_reached(np.stack([x, y]), key, BITS)
+            use = np.bincount(root, minlength=len(root))[root] > 1
+            x, y, root = x[use], y[use], root[use]
+            new = np.concatenate([np.ones(min(1, len(x)), bool), (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (root[1:] != root[:-1])])
+            name = np.zeros(len(key), np.uint64)
+            np.add.at(name, root[new], mix(mix(x[new]) ^ y[new]))
+            yield pa.record_batch([pa.array(c.view(np.int64)) for c in (name[root[new]], x[new], y[new])], names=["key", "x", "y"])
+
+    return mapped(at.select("key", "x", "y").repartition("key").sortWithinPartitions("key", "x", "y"), compare, "key long, x long, y long").distinct()
+
+
+def near_candidates(one: DataFrame, blocks: int, bound: int = 20_000) -> DataFrame:
+    """key, s and n: groups that together hold every two sets whose fingerprints share an anchor and differ in up to BITS bits; one: s, n and fp of every different set.
+
+    An anchor with more than `bound` fingerprints is cut into blocks that are compared two by two, and no pair is left out.
+    """
+    at = _anchors(one, blocks)
+    crowded = None
+    if one.count() > bound:
+        crowded = stored(at.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bound), "crowded")
+    if crowded is None or crowded.isEmpty():
+        found = _groups(at.withColumnRenamed("anchor", "key"))
+    else:
+        found = _groups(at.join(crowded, "anchor", "left_anti").withColumnRenamed("anchor", "key"))
+        found = found.unionByName(_groups(crowded_blocks(at, crowded, bound, ["x", "y"]))).distinct()
+    return found.join(one.select("s", "n", F.col("fp")[0].alias("x"), F.col("fp")[1].alias("y")), ["x", "y"]).select("key", "s", "n")
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
@@ -121,26 +188,37 @@ def _compared(members: DataFrame, similarity: float) -> DataFrame:
     return mapped(members.select("key", "s", "shingles").repartition("key").sortWithinPartitions("key", "s"), compare, "a long, b long")
 
 
-def near_links(one: DataFrame, sets: DataFrame, similarity: float, bound: int = 2_000_000, members: int = 2000) -> DataFrame:
-    """a and b: links that connect the same sets as all pairs that share a band and are similar enough; one: s, n and keys of every different set.
+def near_links(at: DataFrame, sets: DataFrame, similarity: float, bound: int = 2_000_000, members: int = 2000) -> DataFrame:
+    """a and b: links that connect the same sets as all pairs that share a group and are similar enough; at: see near_candidates().
 
-    The members of a band are first compared to one of them, which joins most of a dense group. Bands whose members are then still
-    apart are compared all with all, inside a task that puts out no pairs but the links of a tree. A band of more than `bound`
+    The members of a group are first compared to one of them, which joins most of a dense group. Groups whose members are then still
+    apart are compared all with all, inside a task that puts out no pairs but the links of a tree. A group of more than `bound`
     shingles or `members` sets is cut into blocks that are compared two by two, so no task holds more than that, and no pair is
-    left out.
+    left out. The same texts meet at many anchors in other company: groups that overlap are compared as one where this takes fewer
+    copies of sets.
     """
-    at = one.select("s", "n", F.explode("keys").alias("key"))
-    hubs = at.groupBy("key").agg(F.min(F.struct("s", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("key", "hub")
-    at = stored(at.join(hubs, "key"), "bands")
+    hubs = at.groupBy("key").agg(F.min(F.struct("s", "n")).alias("hub"))
+    at = stored(at.join(hubs, "key"), "groups")
     fits = lambda a, b: F.least(a, b) / F.greatest(a, b) >= similarity
     stars = at.filter((F.col("s") != F.col("hub.s")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.s").alias("a"), F.col("s").alias("b")).distinct()
     links = stored(_similar(stars, sets, similarity), "star-links")
     found = components(links)
-    at = stored(at.join(found, at["s"] == found["node"], "left").select("key", "s", "n", F.coalesce("root", "s").alias("root")), "rooted-bands")
-    apart = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("sets"), F.sum("n").alias("size")).filter("low < high")
-    blocks = F.greatest(F.lit(1), F.ceil(2 * F.col("size") / bound), F.ceil(2 * F.col("sets") / members)).cast("long")
-    apart = stored(apart.select("key", blocks.alias("blocks")), "bands-apart")
-    rest = at.join(apart, "key").withColumn("blocks", F.when(F.col("blocks") > 2, F.col("blocks")).otherwise(1)).withColumn("own", F.pmod(F.xxhash64("s"), "blocks"))
+    at = stored(at.join(found, at["s"] == found["node"], "left").select("key", "s", "n", F.coalesce("root", "s").alias("root")), "rooted-groups")
+    apart = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("s").alias("least"), F.count(F.lit(1)).alias("sets"), F.sum("n").alias("size")).filter("low < high")
+    rest = stored(at.join(apart.drop("low", "high"), "key").select("key", "s", "n", "least", "sets", "size"), "groups-apart")
+    whole = components(rest.select(F.col("least").alias("a"), F.col("s").alias("b")))
+    rest = stored(rest.join(whole, rest["s"] == whole["node"]).select("key", "s", "n", "sets", "size", F.col("root").alias("whole")), "groups-joined")
+
+    def blocks() -> Column:
+        b = F.greatest(F.lit(1), F.ceil(2 * F.col("size") / bound), F.ceil(2 * F.col("sets") / members)).cast("long")
+        return F.when(b > 2, b).otherwise(1)
+
+    each = rest.select("key", "whole", "sets", "size").distinct().groupBy("whole").agg(F.sum(F.col("sets") * blocks()).alias("copies"))
+    joined = rest.select("whole", "s", "n").distinct().groupBy("whole").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("size"))
+    joined = joined.withColumn("blocks", blocks()).join(each, "whole").filter(F.col("sets") * F.col("blocks") <= F.col("copies")).select("whole", F.col("blocks").alias("together"))
+    rest = rest.join(stored(joined, "groups-together"), "whole", "left")
+    rest = rest.select(F.when(F.col("together").isNull(), F.col("key")).otherwise(F.col("whole")).alias("key"), "s", F.coalesce("together", blocks()).alias("blocks")).distinct()
+    rest = rest.withColumn("own", F.pmod(F.xxhash64("s"), "blocks"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rest = rest.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "s").join(sets, "s")
     return links.unionByName(_compared(rest, similarity))
@@ -149,17 +227,18 @@ def near_links(one: DataFrame, sets: DataFrame, similarity: float, bound: int =
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bound: int = 2_000_000, members: int = 2000) -> DataFrame:
     """doc_id, row (a hash of the text) and root (the same for all rows that links connect) of every row.
 
-    Linked are texts whose sets of shingles of `size` words have a Jaccard similarity of at least `similarity`, compared exactly.
+    Linked are texts whose sets of shingles of `size` words have a Jaccard similarity of at least `similarity` (0.8 or more, for
+    which WORDS and BITS are made), compared exactly among the candidates that fingerprints give.
     A-Z are lower-cased; a text of fewer words is one shingle; null and empty texts are equal to each other.
     """
-    every = stored(_signatures(docs, id_col, text_col, size), "signatures")
-    one = stored(every.groupBy("s").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
-    keys = one.select("s", "row", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key")
-    wanted = keys.join(shared, "key", "left_semi").select("s", F.col("row").alias("__row")).distinct()
+    blocks = near_blocks(docs.count())
+    every = stored(_signatures(docs, id_col, text_col, size, WORDS[blocks]), "signatures")
+    one = stored(every.groupBy("s").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp")), "distinct")
+    at = stored(near_candidates(one, blocks), "candidates")
+    wanted = at.select("s").distinct().join(one.select("s", F.col("row").alias("__row")), "s")
     texts = docs.select(F.xxhash64(text_col).alias("__row"), F.col(text_col).alias("text")).join(wanted, "__row").dropDuplicates(["s"])
     sets = stored(_sets(texts, size), "shingle-sets")
-    found = components(near_links(one, sets, similarity, bound, members))
+    found = components(near_links(at, sets, similarity, bound, members))
     return every.join(found, every["s"] == found["node"], "left").select("doc_id", "row", F.coalesce("root", "s").alias("root"))
 
 

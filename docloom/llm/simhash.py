@@ -25,6 +25,14 @@ def _home() -> np.ndarray:
     return np.searchsorted(np.unique(code), code)
 
 
+def code_words(x: np.ndarray, blocks: int, home: np.ndarray) -> np.ndarray:
+    """The nearest anchor of each word: its lowest `blocks` blocks of 7 bits become the numbers of their code words, the bits above stay."""
+    at = x >> np.uint64(7 * blocks)
+    for k in range(blocks):
+        at = at << np.uint64(4) | home[x >> np.uint64(7 * k) & np.uint64(127)]
+    return at
+
+
 def _fingerprint(data: bytes, size: int) -> int:
     from xxhash import xxh64_intdigest
 
@@ -80,10 +88,7 @@ def _anchors(distinct: DataFrame, blocks: int) -> DataFrame:
             fp = np.asarray(b.column(0)).view(np.uint64)
             for half in (0, 1):
                 x = ((fp >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF))[:, None] ^ flips
-                at = x >> np.uint64(7 * blocks)
-                for k in range(blocks):
-                    at = at << np.uint64(4) | home[x >> np.uint64(7 * k) & np.uint64(127)]
-                at = np.sort(at, axis=1)
+                at = np.sort(code_words(x, blocks, home), axis=1)
                 new = np.concatenate([np.ones((len(at), 1), bool), at[:, 1:] != at[:, :-1]], axis=1)
                 yield pa.record_batch([pa.array((at[new] | np.uint64(half << 32)).view(np.int64)), pa.array(np.repeat(fp, new.sum(axis=1)).view(np.int64))], names=["anchor", "fp"])
 
@@ -108,55 +113,70 @@ class Groups:
             a, b = a[open_], b[open_]
 
 
-def _links(fp: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (member, first member reached) over every two fingerprints of one group that differ in up to `bits` bits; rows sorted by group."""
-    n = len(fp)
+def first_reached(fp: np.ndarray, group: np.ndarray, bits: int) -> np.ndarray:
+    """The place of the first row each row reaches over every two fingerprints of one group that differ in up to `bits` bits; rows sorted by group, fp: words of fingerprints by rows."""
+    n = len(group)
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     sizes = np.diff(np.append(starts, n))
     sets = Groups(n)
     small = np.repeat(sizes <= 64, sizes)
     for lag in range(1, int(sizes[sizes <= 64].max(initial=1))):
         i = np.flatnonzero((group[lag:] == group[:-lag]) & small[lag:])
-        near = i[np.bitwise_count(fp[i] ^ fp[i + lag]) <= bits]
+        near = i[sum(np.bitwise_count(x[i] ^ x[i + lag]) for x in fp) <= bits]
         sets.join(near, near + lag)
     for a, m in zip(starts[sizes > 64], sizes[sizes > 64], strict=True):
-        x = fp[a : a + m]
         step = max(1, (1 << 21) // int(m))
         for k in range(0, m, step):
-            i, j = np.nonzero(np.bitwise_count(x[k : k + step, None] ^ x[None, k:]) <= bits)
+            i, j = np.nonzero(sum(np.bitwise_count(x[a + k : a + min(m, k + step), None] ^ x[None, a + k : a + m]) for x in fp) <= bits)
             more = j > i
             sets.join(a + k + i[more], a + k + j[more])
-    linked = np.flatnonzero(sets.root != np.arange(n))
-    return fp[linked], fp[sets.root[linked]]
+    return sets.root
 
 
-def _compared(at: DataFrame, keys: list[str], bits: int) -> DataFrame:
-    """a and b: links that join the same fingerprints as all pairs of near ones with equal keys; a group is in memory at a time, and its size is bounded by the caller."""
+def _links(fp: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (member, first member reached) over every two fingerprints of one group that differ in up to `bits` bits; rows sorted by group."""
+    root = first_reached(fp[None], group, bits)
+    linked = np.flatnonzero(root != np.arange(len(fp)))
+    return fp[linked], fp[root[linked]]
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of whole groups of rows, sorted by the first column; a group is in memory at a time, with what else its batch holds."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [np.asarray(c) for c in b.columns]
+        key = columns[0]
+        last = int(np.searchsorted(key == key[-1], True))  # where the last group of this batch starts
+        if last == 0 and held and held[0][0][0] == key[0]:
+            held.append(columns)
+            continue
+        held.append([c[:last] for c in columns])
+        if sum(len(part[0]) for part in held):
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+        held = [[c[last:] for c in columns]]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def crowded_blocks(at: DataFrame, crowded: DataFrame, bound: int, values: list[str]) -> DataFrame:
+    """key and values: the rows at crowded anchors (anchor, n) cut into blocks, each two of which are together under one key with at most about `bound` rows."""
+    blocks = F.ceil(F.col("n") * 2 / bound).cast("long")
+    hot = at.join(crowded, "anchor").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(*values), "blocks"))
+    hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return hot.select(F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *values)
+
+
+def _compared(at: DataFrame, bits: int) -> DataFrame:
+    """a and b: links that join the same fingerprints as all pairs of near ones with equal key; a group is in memory at a time, and its size is bounded by the caller."""
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            a, b = _links(fp, key, bits)
-            return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key, fp = np.asarray(b.column(0)), np.asarray(b.column(1)).view(np.uint64)
-            last = int(np.searchsorted(key == key[-1], True))  # where the last group of this batch starts
-            if last == 0 and held and held[0][0][0] == key[0]:
-                held.append((key, fp))
-                continue
-            held.append((key[:last], fp[:last]))
-            if sum(len(k) for k, _ in held):
-                yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            held = [(key[last:], fp[last:])]
-        if held and len(held[0][0]):
-            yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-    key = F.col(keys[0]) if len(keys) == 1 else F.xxhash64(*keys)
-    return mapped(at.select(key.alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp"), compare, "a long, b long")
+        for key, fp in whole_groups(batches):
+            a, b = _links(fp.view(np.uint64), key, bits)
+            yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    return mapped(at.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp"), compare, "a long, b long")
 
 
 def fingerprint_links(distinct: DataFrame, bits: int = 4, bound: int = 20_000, blocks: int | None = None) -> DataFrame:
@@ -170,11 +190,9 @@ def fingerprint_links(distinct: DataFrame, bits: int = 4, bound: int = 20_000, b
     at = _anchors(distinct, hamming_blocks(distinct.count()) if blocks is None else blocks)
     crowded = stored(at.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bound), "crowded")
     if crowded.isEmpty():
-        return _compared(at, ["anchor"], bits)
-    blocks = F.ceil(F.col("n") * 2 / bound).cast("long")
-    hot = at.join(crowded, "anchor").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
-    hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("anchor", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    return _compared(at.join(crowded, "anchor", "left_anti"), ["anchor"], bits).unionByName(_compared(hot, ["anchor", "i", "j"], bits))
+        return _compared(at.withColumnRenamed("anchor", "key"), bits)
+    hot = crowded_blocks(at, crowded, bound, ["fp"])
+    return _compared(at.join(crowded, "anchor", "left_anti").withColumnRenamed("anchor", "key"), bits).unionByName(_compared(hot, bits))
 
 
 def _with_components(fps: DataFrame, bits: int, bound: int) -> DataFrame:

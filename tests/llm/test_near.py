@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from docloom.llm.near import _pairs_of, near_components, near_dedup
+from docloom.llm.near import _SEEDS, _pairs_of, _shingles, near_candidates, near_components, near_dedup
+from docloom.llm.shingles import mix
 
 from .conftest import rows_of
 from .test_simhash import closed
@@ -94,3 +95,40 @@ def test_odd_rows(odd, clashing, nothing):
     assert kept.columns == odd.columns and kept.count() == len(set(group.values()))
     assert near_dedup(clashing).columns == clashing.columns
     assert rows_of(near_dedup(nothing)) == []
+
+
+@pytest.mark.parametrize("bound", [20_000, 6])
+def test_candidates_meet_at_code_words(spark, bound):
+    """Fingerprints are majorities of the shingles' hashes, and candidates are what shares the nearest code word of a part within 40 of 128 bits, all by brute force."""
+    code = [w for w in range(128) if not (w & 1) * 1 ^ (w >> 1 & 1) * 2 ^ (w >> 2 & 1) * 3 ^ (w >> 3 & 1) * 4 ^ (w >> 4 & 1) * 5 ^ (w >> 5 & 1) * 6 ^ (w >> 6 & 1) * 7]
+    sets = [_shingles(t.encode(), 5) for _, t in copies(random.Random(8))[:70]]
+    one, parts = {}, {}
+    for i, x in enumerate(sets):
+        h = [mix(x ^ seed).tolist() for seed in _SEEDS[:37]]
+        one[i] = [sum((2 * sum(v >> (8 * (b % 8) + b // 8) & 1 for v in w) > len(w)) << b for b in range(64)) for w in h]
+        cut = [w >> 21 * p & (1 << 21) - 1 for w in one[i] for p in range(3)]
+        parts[i] = [(p >> 14, *(next(c for c in code if (c ^ p >> k & 127).bit_count() < 2) for k in (0, 7))) for p in cut]
+    near = lambda i, j: sum((one[i][k] ^ one[j][k]).bit_count() for k in (0, 1)) <= 40
+    want = [(i, j) for i in one for j in range(i) if near(i, j) and any(a == b for a, b in zip(parts[i], parts[j], strict=True))]
+    rows = [(i, len(sets[i]), np.array(w, np.uint64).view(np.int64).tolist()) for i, w in one.items()]
+    found = {}
+    for r in near_candidates(spark.createDataFrame(rows, "s long, n long, fp array<long>"), 2, bound).collect():
+        found.setdefault(r.key, []).append(r.s)
+    assert {(i, j) for g in found.values() for i in g for j in g if i > j} >= set(want) and len(want) > 10
+    assert closed([(g[0], s) for g in found.values() for s in g], range(len(sets))) == closed(want, range(len(sets)))
+
+
+def test_similar_texts_differ_in_few_enough_bits():
+    """Of pairs at a similarity of 0.8 at least 99 in 100 share an anchor and stay within the bits compared."""
+    from docloom.llm import near
+    from docloom.llm.simhash import _home, code_words
+
+    rng, home = np.random.default_rng(4), _home().astype(np.uint64)
+    for blocks, words in near.WORDS.items():
+        met = 0
+        for _ in range(300):
+            x = rng.integers(0, 2**64, 160, np.uint64, endpoint=False)
+            f, g = (near._fingerprint(y, words) for y in (x[:144], x[16:]))
+            a, b = (code_words(y[:, None] >> np.array([0, 21, 42], np.uint64) & np.uint64((1 << 21) - 1), blocks, home) for y in (f, g))
+            met += bool((a == b).any()) and int(np.bitwise_count(f[:2] ^ g[:2]).sum()) <= near.BITS
+        assert met >= 297
