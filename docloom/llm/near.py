@@ -205,19 +205,20 @@ def near_links(at: DataFrame, sets: DataFrame, similarity: float, bound: int = 2
     found = components(links)
     at = stored(at.join(found, at["s"] == found["node"], "left").select("key", "s", "n", F.coalesce("root", "s").alias("root")), "rooted-groups")
     apart = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("s").alias("least"), F.count(F.lit(1)).alias("sets"), F.sum("n").alias("size")).filter("low < high")
-    rest = stored(at.join(apart.drop("low", "high"), "key").select("key", "s", "n", "least", "sets", "size"), "groups-apart")
-    whole = components(rest.select(F.col("least").alias("a"), F.col("s").alias("b")))
-    rest = stored(rest.join(whole, rest["s"] == whole["node"]).select("key", "s", "n", "sets", "size", F.col("root").alias("whole")), "groups-joined")
+    apart = stored(apart.drop("low", "high"), "groups-apart")
+    whole = stored(components(at.join(apart.select("key", "least"), "key").select(F.col("least").alias("a"), F.col("s").alias("b"))).select(F.col("node").alias("s"), F.col("root").alias("whole")), "groups-joined")
 
     def blocks() -> Column:
         b = F.greatest(F.lit(1), F.ceil(2 * F.col("size") / bound), F.ceil(2 * F.col("sets") / members)).cast("long")
         return F.when(b > 2, b).otherwise(1)
 
-    each = rest.select("key", "whole", "sets", "size").distinct().groupBy("whole").agg(F.sum(F.col("sets") * blocks()).alias("copies"))
-    joined = rest.select("whole", "s", "n").distinct().groupBy("whole").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("size"))
-    joined = joined.withColumn("blocks", blocks()).join(each, "whole").filter(F.col("sets") * F.col("blocks") <= F.col("copies")).select("whole", F.col("blocks").alias("together"))
-    rest = rest.join(stored(joined, "groups-together"), "whole", "left")
-    rest = rest.select(F.when(F.col("together").isNull(), F.col("key")).otherwise(F.col("whole")).alias("key"), "s", F.coalesce("together", blocks()).alias("blocks")).distinct()
+    apart = apart.join(whole, apart["least"] == whole["s"]).select("key", "whole", "sets", blocks().alias("blocks"))
+    each = apart.groupBy("whole").agg(F.sum(F.col("sets") * F.col("blocks")).alias("copies"))
+    joined = whole.join(at.select("s", "n").distinct(), "s").groupBy("whole").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("size"))
+    joined = joined.withColumn("blocks", blocks()).join(each, "whole").filter(F.col("sets") * F.col("blocks") <= F.col("copies")).select("whole", "blocks")
+    joined = stored(joined, "groups-together")
+    rest = whole.join(joined, "whole").select(F.col("whole").alias("key"), "s", "blocks")
+    rest = rest.unionByName(at.join(apart.join(joined, "whole", "left_anti"), "key").select("key", "s", "blocks"))
     rest = rest.withColumn("own", F.pmod(F.xxhash64("s"), "blocks"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rest = rest.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "s").join(sets, "s")
