@@ -86,8 +86,17 @@ def _anchors(one: DataFrame, blocks: int) -> DataFrame:
     return mapped(one.select("fp"), cover, "anchor long, x long, y long")
 
 
+def _id(x: str | Column, y: str | Column) -> Column:
+    """One number for the first two words of a fingerprint. Two that have the same are candidates wherever one is, which adds pairs to compare and loses none."""
+    return F.xxhash64(x, y)
+
+
 def _groups(at: DataFrame) -> DataFrame:
-    """key, x and y: the groups that differences of up to BITS bits connect among the fingerprints of one anchor; key is a hash of the group, equal where it is found again."""
+    """key, hub and id: the groups that differences of up to BITS bits connect among the fingerprints of one anchor.
+
+    key is a hash of the group, equal where it is found again; hub is the id of one member, by an order that is the same at all
+    anchors, so that groups of much the same members mostly have the same.
+    """
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, *fp in whole_groups(batches):
@@ -96,15 +105,21 @@ def _groups(at: DataFrame) -> DataFrame:
             use = np.bincount(root, minlength=len(root))[root] > 1
             x, y, root = x[use], y[use], root[use]
             new = np.concatenate([np.ones(min(1, len(x)), bool), (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (root[1:] != root[:-1])])
-            name = np.zeros(len(key), np.uint64)
-            np.add.at(name, root[new], mix(mix(x[new]) ^ y[new]))
-            yield pa.record_batch([pa.array(c.view(np.int64)) for c in (name[root[new]], x[new], y[new])], names=["key", "x", "y"])
+            x, y, root = x[new], y[new], root[new]
+            name, hashed = np.zeros(len(key), np.uint64), mix(mix(x) ^ y)
+            np.add.at(name, root, hashed)
+            first = np.zeros(len(key), np.int64)
+            order = np.argsort(hashed)[::-1]
+            first[root[order]] = order  # the last that is written stays: that of the smallest hash
+            hub = first[root]
+            yield pa.record_batch([pa.array(c.view(np.int64)) for c in (name[root], x[hub], y[hub], x, y)], names=["key", "hx", "hy", "x", "y"])
 
-    return mapped(at.select("key", "x", "y").repartition("key").sortWithinPartitions("key", "x", "y"), compare, "key long, x long, y long").distinct()
+    found = mapped(at.select("key", "x", "y").repartition("key").sortWithinPartitions("key", "x", "y"), compare, "key long, hx long, hy long, x long, y long")
+    return found.select("key", _id("hx", "hy").alias("hub"), _id("x", "y").alias("id")).distinct()
 
 
-def near_candidates(one: DataFrame, blocks: int, bound: int = 20_000) -> DataFrame:
-    """key, s and n: groups that together hold every two sets whose fingerprints share an anchor and differ in up to BITS bits; one: s, n and fp of every different set.
+def _candidates(one: DataFrame, blocks: int, bound: int = 20_000) -> DataFrame:
+    """key, hub and id (see _groups): groups that together hold every two fingerprints that share an anchor and differ in up to BITS bits; one: s, n and fp of every different set.
 
     An anchor with more than `bound` fingerprints is cut into blocks that are compared two by two, and no pair is left out.
     """
@@ -113,11 +128,19 @@ def near_candidates(one: DataFrame, blocks: int, bound: int = 20_000) -> DataFra
     if one.count() > bound:
         crowded = stored(at.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bound), "crowded")
     if crowded is None or crowded.isEmpty():
-        found = _groups(at.withColumnRenamed("anchor", "key"))
-    else:
-        found = _groups(at.join(crowded, "anchor", "left_anti").withColumnRenamed("anchor", "key"))
-        found = found.unionByName(_groups(crowded_blocks(at, crowded, bound, ["x", "y"]))).distinct()
-    return found.join(one.select("s", "n", F.col("fp")[0].alias("x"), F.col("fp")[1].alias("y")), ["x", "y"]).select("key", "s", "n")
+        return _groups(at.withColumnRenamed("anchor", "key"))
+    found = _groups(at.join(crowded, "anchor", "left_anti").withColumnRenamed("anchor", "key"))
+    return found.unionByName(_groups(crowded_blocks(at, crowded, bound, ["x", "y"]))).distinct()
+
+
+def _named(one: DataFrame) -> DataFrame:
+    """id, s, n and row, where there is one, of every different set."""
+    return one.select(_id(F.col("fp")[0], F.col("fp")[1]).alias("id"), *[c for c in one.columns if c != "fp"])
+
+
+def near_candidates(one: DataFrame, blocks: int, bound: int = 20_000) -> DataFrame:
+    """key, s and n: the sets in the groups of _candidates()."""
+    return _candidates(one, blocks, bound).join(_named(one), "id").select("key", "s", "n")
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
@@ -188,41 +211,86 @@ def _compared(members: DataFrame, similarity: float) -> DataFrame:
     return mapped(members.select("key", "s", "shingles").repartition("key").sortWithinPartitions("key", "s"), compare, "a long, b long")
 
 
-def near_links(at: DataFrame, sets: DataFrame, similarity: float, bound: int = 2_000_000, members: int = 2000) -> DataFrame:
+def _fits(a: Column, b: Column, similarity: float) -> Column:
+    """Whether sets of a and b members can be similar enough."""
+    return F.least(a, b) / F.greatest(a, b) >= similarity
+
+
+def _blocks(bound: int, members: int) -> Column:
+    """How many blocks a group of `sets` sets and `size` shingles is cut into, for up to `bound` shingles and `members` sets in two of them."""
+    b = F.greatest(F.lit(1), F.ceil(2 * F.col("size") / bound), F.ceil(2 * F.col("sets") / members)).cast("long")
+    return F.when(b > 2, b).otherwise(1)
+
+
+def _dealt(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """key, s and shingles: the members of each group (key, s, blocks), cut into blocks, every two of which are together under one key."""
+    rest = groups.withColumn("own", F.pmod(F.xxhash64("s"), "blocks"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rest.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "s").join(sets, "s")
+
+
+def _group_links(at: DataFrame, sets: DataFrame, similarity: float, bound: int, members: int) -> DataFrame:
     """a and b: links that connect the same sets as all pairs that share a group and are similar enough; at: see near_candidates().
 
-    The members of a group are first compared to one of them, which joins most of a dense group. Groups whose members are then still
-    apart are compared all with all, inside a task that puts out no pairs but the links of a tree. A group of more than `bound`
-    shingles or `members` sets is cut into blocks that are compared two by two, so no task holds more than that, and no pair is
-    left out. The same texts meet at many anchors in other company: groups that overlap are compared as one where this takes fewer
-    copies of sets.
+    For groups that near_links() doesn't compare together. The members of a group are first compared to one of them, which joins most
+    of a dense group. Groups whose members are then still apart are compared all with all, inside a task that puts out no pairs but
+    the links of a tree. A group of more than `bound` shingles or `members` sets is cut into blocks that are compared two by two, so
+    no task holds more than that, and no pair is left out. Of the groups that are still apart those that overlap are compared as one
+    where this takes fewer copies of sets.
     """
     hubs = at.groupBy("key").agg(F.min(F.struct("s", "n")).alias("hub"))
     at = stored(at.join(hubs, "key"), "groups")
-    fits = lambda a, b: F.least(a, b) / F.greatest(a, b) >= similarity
-    stars = at.filter((F.col("s") != F.col("hub.s")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.s").alias("a"), F.col("s").alias("b")).distinct()
+    stars = at.filter((F.col("s") != F.col("hub.s")) & _fits(F.col("n"), F.col("hub.n"), similarity)).select(F.col("hub.s").alias("a"), F.col("s").alias("b")).distinct()
     links = stored(_similar(stars, sets, similarity), "star-links")
     found = components(links)
     at = stored(at.join(found, at["s"] == found["node"], "left").select("key", "s", "n", F.coalesce("root", "s").alias("root")), "rooted-groups")
     apart = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("s").alias("least"), F.count(F.lit(1)).alias("sets"), F.sum("n").alias("size")).filter("low < high")
     apart = stored(apart.drop("low", "high"), "groups-apart")
     whole = stored(components(at.join(apart.select("key", "least"), "key").select(F.col("least").alias("a"), F.col("s").alias("b"))).select(F.col("node").alias("s"), F.col("root").alias("whole")), "groups-joined")
-
-    def blocks() -> Column:
-        b = F.greatest(F.lit(1), F.ceil(2 * F.col("size") / bound), F.ceil(2 * F.col("sets") / members)).cast("long")
-        return F.when(b > 2, b).otherwise(1)
-
-    apart = apart.join(whole, apart["least"] == whole["s"]).select("key", "whole", "sets", blocks().alias("blocks"))
+    apart = apart.join(whole, apart["least"] == whole["s"]).select("key", "whole", "sets", _blocks(bound, members).alias("blocks"))
     each = apart.groupBy("whole").agg(F.sum(F.col("sets") * F.col("blocks")).alias("copies"))
     joined = whole.join(at.select("s", "n").distinct(), "s").groupBy("whole").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("size"))
-    joined = joined.withColumn("blocks", blocks()).join(each, "whole").filter(F.col("sets") * F.col("blocks") <= F.col("copies")).select("whole", "blocks")
+    joined = joined.withColumn("blocks", _blocks(bound, members)).join(each, "whole").filter(F.col("sets") * F.col("blocks") <= F.col("copies")).select("whole", "blocks")
     joined = stored(joined, "groups-together")
     rest = whole.join(joined, "whole").select(F.col("whole").alias("key"), "s", "blocks")
     rest = rest.unionByName(at.join(apart.join(joined, "whole", "left_anti"), "key").select("key", "s", "blocks"))
-    rest = rest.withColumn("own", F.pmod(F.xxhash64("s"), "blocks"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rest = rest.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "s").join(sets, "s")
-    return links.unionByName(_compared(rest, similarity))
+    return links.unionByName(_compared(_dealt(rest, sets), similarity))
+
+
+def near_links(at: DataFrame, named: DataFrame, sets: DataFrame, similarity: float, bound: int = 2_000_000, members: int = 2000) -> DataFrame:
+    """a and b: links that connect the same sets as all pairs that share a group and are similar enough, or more that are; at: see _candidates(), named: id, s and n.
+
+    The same texts meet at up to all parts of their fingerprints, each time in other company, and their memberships are many times
+    the texts. Groups that overlap are therefore compared as one, a row for each text, where this takes no more copies of sets than
+    group by group; what connects them is counted once for a hub and a member. The members of such a whole are first compared to
+    the one of most memberships, which joins most of a dense one; if some are then still apart they are compared all with all, in
+    blocks as _group_links() has them. The groups of the other wholes go there.
+    """
+    met = stored(at.groupBy("hub", "id").agg(F.count(F.lit(1)).alias("times")), "met")
+    whole = stored(components(met.select(F.col("hub").alias("a"), F.col("id").alias("b"))).select(F.col("node").alias("id"), F.col("root").alias("whole")), "wholes")
+    alone = met.select("id").distinct().join(whole, "id", "left_anti").select("id", F.col("id").alias("whole"))  # sets with equal first words and no other company
+    whole = whole.unionByName(alone)
+    times = met.groupBy("id").agg(F.sum("times").alias("times"))
+    every = stored(whole.join(times, "id").join(named.select("id", "s", "n"), "id").select("id", "whole", "times", "s", "n"), "whole-sets")
+
+    each = at.groupBy("hub", "key").agg(F.count(F.lit(1)).alias("sets")).withColumn("size", F.lit(0))
+    each = each.groupBy("hub").agg(F.sum(F.col("sets") * _blocks(bound, members)).alias("copies"))
+    each = each.join(whole, each["hub"] == whole["id"]).groupBy("whole").agg(F.sum("copies").alias("copies"))
+    wholes = every.groupBy("whole").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("size"), F.max(F.struct("times", "s", "n")).alias("hub")).withColumn("blocks", _blocks(bound, members))
+    wholes = stored(wholes.join(each, "whole").select("whole", "hub", "blocks", (F.col("sets") * F.col("blocks") <= F.greatest("copies", "sets")).alias("together")), "wholes-counted")
+
+    stars = every.join(wholes.filter("together"), "whole").filter((F.col("s") != F.col("hub.s")) & _fits(F.col("n"), F.col("hub.n"), similarity))
+    links = stored(_similar(stars.select(F.col("hub.s").alias("a"), F.col("s").alias("b")), sets, similarity), "star-links")
+    found = components(links)
+    rooted = every.join(wholes.filter("together").select("whole", "blocks"), "whole").join(found, every["s"] == found["node"], "left").select("whole", "blocks", "s", F.coalesce("root", "s").alias("root"))
+    rooted = stored(rooted, "rooted-wholes")
+    apart = rooted.groupBy("whole").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("whole")
+    links = links.unionByName(_compared(_dealt(rooted.join(apart, "whole").select(F.col("whole").alias("key"), "s", "blocks"), sets), similarity))
+    others = wholes.filter("NOT together").select("whole")
+    if others.isEmpty():
+        return links
+    others = every.join(others, "whole").select("id", "s", "n")
+    return links.unionByName(_group_links(at.join(others, "id").select("key", "s", "n"), sets, similarity, bound, members))
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bound: int = 2_000_000, members: int = 2000) -> DataFrame:
@@ -235,11 +303,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = near_blocks(docs.count())
     every = stored(_signatures(docs, id_col, text_col, size, WORDS[blocks]), "signatures")
     one = stored(every.groupBy("s").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp")), "distinct")
-    at = stored(near_candidates(one, blocks), "candidates")
-    wanted = at.select("s").distinct().join(one.select("s", F.col("row").alias("__row")), "s")
+    at = stored(_candidates(one, blocks), "candidates")
+    named = _named(one)
+    wanted = named.join(at.select("id").distinct(), "id").select("s", F.col("row").alias("__row"))
     texts = docs.select(F.xxhash64(text_col).alias("__row"), F.col(text_col).alias("text")).join(wanted, "__row").dropDuplicates(["s"])
     sets = stored(_sets(texts, size), "shingle-sets")
-    found = components(near_links(at, sets, similarity, bound, members))
+    found = components(near_links(at, named, sets, similarity, bound, members))
     return every.join(found, every["s"] == found["node"], "left").select("doc_id", "row", F.coalesce("root", "s").alias("root"))
 
 

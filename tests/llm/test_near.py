@@ -63,6 +63,34 @@ def test_a_group_that_is_apart(spark, bound, members):
     assert len(set(group.values())) > 1
 
 
+def test_memberships_of_overlapping_groups_are_not_carried_on(spark, monkeypatch):
+    """Copies below the similarity meet at most anchors, each time in other company: groups as by brute force, and behind the candidates no table has a row for each membership."""
+    from docloom.llm import near
+
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(4000)}" for _ in range(120)]
+    rows = []
+    for d in range(200):
+        w = list(base)
+        for _ in range(rng.choice([3, 4, 5, 6])):
+            w[rng.randrange(120)] = f"x{rng.randrange(400)}"
+        rows.append((d, " ".join(w)))
+    group, _, _ = groups(rows)
+    seen, write = {}, near.stored
+
+    def counted(df, name):
+        out = write(df, name)
+        seen[name] = max(seen.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near, "stored", counted)
+    root = {r.doc_id: r.root for r in near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(i, j) for i in range(200) for j in range(i) if root[i] == root[j]} == {(i, j) for i in range(200) for j in range(i) if group[i] == group[j]}
+    assert 1 < len(set(group.values())) and seen["candidates"] > 30 * len(rows)
+    assert {name for name, n in seen.items() if n > len(rows)} <= {"candidates", "met"}
+    assert seen["met"] < 0.7 * seen["candidates"]
+
+
 def test_against_brute_force(spark):
     rows = copies(random.Random(3))
     group, links, sets = groups(rows)
