@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mapped, stored
@@ -262,12 +262,15 @@ def near_links(at: DataFrame, named: DataFrame, sets: DataFrame, similarity: flo
 
     The same texts meet at up to all parts of their fingerprints, each time in other company, and their memberships are many times
     the texts. Groups that overlap are therefore compared as one, a row for each text, where this takes no more copies of sets than
-    group by group; what connects them is counted once for a hub and a member. The members of such a whole are first compared to
+    group by group. What connects them is counted once for a hub and a member, and tied are only a member and the lowest of its hubs, and
+    this and its other hubs, of which there are few different pairs. The members of such a whole are first compared to
     the one of most memberships, which joins most of a dense one; if some are then still apart they are compared all with all, in
     blocks as _group_links() has them. The groups of the other wholes go there.
     """
-    met = stored(at.groupBy("hub", "id").agg(F.count(F.lit(1)).alias("times")), "met")
-    whole = stored(components(met.select(F.col("hub").alias("a"), F.col("id").alias("b"))).select(F.col("node").alias("id"), F.col("root").alias("whole")), "wholes")
+    met = at.groupBy("hub", "id").agg(F.count(F.lit(1)).alias("times"))
+    met = stored(met.withColumn("low", F.min("hub").over(Window.partitionBy("id"))), "met")
+    ties = met.select(F.col("low").alias("a"), F.col("id").alias("b")).unionByName(met.select(F.col("low").alias("a"), F.col("hub").alias("b"))).distinct()
+    whole = stored(components(ties).select(F.col("node").alias("id"), F.col("root").alias("whole")), "wholes")
     alone = met.select("id").distinct().join(whole, "id", "left_anti").select("id", F.col("id").alias("whole"))  # sets with equal first words and no other company
     whole = whole.unionByName(alone)
     times = met.groupBy("id").agg(F.sum("times").alias("times"))
